@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, tokenizer_path
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash
+
+    return simhash(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import token_counts
 
@@ -41,6 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": op2_simhash,
         "op5_token_counts": op5_token_counts,
         "op7_pii": op7_pii,
         "op8_toxicity": op8_toxicity,
