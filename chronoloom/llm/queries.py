@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, tokenizer_path
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash
 
@@ -47,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_simhash": op2_simhash,
         "op5_token_counts": op5_token_counts,
         "op7_pii": op7_pii,
