@@ -27,6 +27,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_main_text": op1_main_text,
         "op2_simhash": op2_simhash,
         "op5_token_counts": op5_token_counts,
+        "op6_minhash": op6_minhash,
         "op7_pii": op7_pii,
         "op8_toxicity": op8_toxicity,
         "op9_sentencepiece": op9_sentencepiece,
