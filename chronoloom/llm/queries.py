@@ -21,6 +21,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import token_counts
 
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
         "op2_simhash": op2_simhash,
+        "op3_repeats": op3_repeats,
         "op5_token_counts": op5_token_counts,
         "op6_minhash": op6_minhash,
         "op7_pii": op7_pii,
