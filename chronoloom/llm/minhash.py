@@ -157,10 +157,18 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _confirmed(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+#: A semi-join sends its ids to every task up to so many (16 bytes each), and sorts both sides beyond.
+BROADCAST_IDS = 4_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids`` (distinct, in shared storage); texts that go are not shuffled."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of the candidate edges (c, m), on the full sets of the documents' whole texts."""
-    ids = edges.select(F.explode(F.array("c", "m")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     members = edges.join(texts.select(F.col("doc_id").alias("m"), F.col("text").alias("mt")), "m")
     both = members.join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("ct")), "c")
     return both.select("c", "m", "ct", "mt").mapInArrow(_confirm(size, percent), "a long, b long")
@@ -177,8 +185,12 @@ def _short_sets(size: int):
     return run
 
 
-def _across(percent: int):
-    """Within a bucket (or a pair of its blocks): alike documents of different components, one pair per two components."""
+def _across(percent: int, slack: float = 0.5):
+    """Within a bucket (or a pair of its blocks): alike documents of different components.
+
+    One sure pair per two components is enough; pairs so close to the threshold
+    that shortened hashes could decide are all given, to be confirmed.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         docs = table.column("doc_id").to_pylist()
@@ -202,7 +214,7 @@ def _across(percent: int):
 
         for a in range(len(docs)):
             # not of one component, first met in this band, in the blocks that this task compares, and near in size
-            others = np.flatnonzero((comp != comp[a]) & (np.arange(len(docs)) > a) & ((block != block[a]) | (i == j)) & (100 * np.minimum(size, size[a]) >= (percent - 1) * np.maximum(size, size[a])))
+            others = np.flatnonzero((comp != comp[a]) & (np.arange(len(docs)) > a) & ((block != block[a]) | (i == j)) & (100 * np.minimum(size, size[a]) >= (percent - slack) * np.maximum(size, size[a])))
             if band and len(others):
                 others = others[~(keys[others, :band] == keys[a, :band]).any(axis=1)]
             others = others[[find(int(comp[b])) != find(int(comp[a])) for b in others]] if len(others) and root else others
@@ -213,9 +225,11 @@ def _across(percent: int):
             same = sets[a][np.minimum(hit, size[a] - 1)] == joined[at]
             both = np.add.reduceat(same, np.cumsum(size[others]) - size[others])
             for b, n in zip(others, both):
-                if 100 * n >= (percent - 1) * (size[a] + size[b] - n) and find(int(comp[a])) != find(int(comp[b])):
+                union = size[a] + size[b] - n
+                if 100 * n >= (percent - slack) * union and find(int(comp[a])) != find(int(comp[b])):
                     out.append((docs[a], docs[int(b)]))
-                    root[find(int(comp[a]))] = find(int(comp[b]))
+                    if 100 * n >= (percent + slack) * union:  # surely a link, so more between the two components are not needed
+                        root[find(int(comp[a]))] = find(int(comp[b]))
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["c", "m"])
 
     return run
@@ -250,7 +264,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     stars = spread.groupBy("key").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = cut_lineage(spread.join(stars, "key").select("key", "c", "members", F.col("rep").alias("m")))
     edges = buckets.where("m > c").select("c", "m").distinct()
-    links = cut_lineage(_confirmed(edges, rows, size, percent))
+    met = cut_lineage(edges.select(F.explode(F.array("c", "m")).alias("doc_id")).distinct())
+    texts = cut_lineage(only(rows, met))  # of all that are ever compared
+    links = cut_lineage(_confirmed(edges, texts, size, percent))
     known = components(links, "a", "b")
 
     def labelled(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
@@ -261,12 +277,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     blocks = F.ceil(F.col("members") / block).cast("int")
     left = cut_lineage(placed.join(split, "key").select("key", F.col("m").alias("doc_id"), "component", blocks.alias("blocks"), F.pmod(F.xxhash64("m"), blocks).cast("int").alias("block")))
     wanted = left.select("doc_id").distinct()
-    short = rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_short_sets(size), "doc_id long, short binary")
+    short = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_short_sets(size), "doc_id long, short binary")
     short = short.join(reps.select(F.col("rep").alias("doc_id"), "keys"), "doc_id")
     pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     more = pairs.join(short, "doc_id").select("key", "i", "j", "doc_id", "component", "block", "keys", "short").groupBy("key", "i", "j").applyInArrow(_across(percent), "c long, m long")
-    missed = _confirmed(cut_lineage(more.distinct()), rows, size, percent)
+    missed = _confirmed(cut_lineage(more.distinct()), texts, size, percent)
     found = components(links.unionByName(missed), "a", "b")
 
     whole = labelled(reps.select("h1", "h2", "n", "rep"), "rep", found).select("h1", "h2", "n", "component")
