@@ -27,6 +27,12 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multiindex import linked_vectors
+
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import token_counts
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_main_text": op1_main_text,
         "op2_simhash": op2_simhash,
         "op3_repeats": op3_repeats,
+        "op4_multi_index": op4_multi_index,
         "op5_token_counts": op5_token_counts,
         "op6_minhash": op6_minhash,
         "op7_pii": op7_pii,
