@@ -69,30 +69,36 @@ def _library(path: str):
     return _loaded[path]
 
 
-def encode_documents(texts: list[str], path: str, end_id: int = 0) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    """Each text's ids as little-endian bytes with the end id, the cuts to choose from, and their penalties.
+def encode_documents(texts: list[str], path: str, end_id: int = 0) -> Iterator[np.ndarray]:
+    """Each text's ids with the end id.
 
     Texts with special strings, or with characters on which the libraries differ
     about white space, go through the tokenizer itself.
     """
-    tok, quick, special, sentence, word = _library(path)
+    tok, quick, special, _, _ = _library(path)
     for t in texts:
         if any(s in t for s in special) or any(c in t for c in ODD_SPACES):
             ids = np.asarray(tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
         else:
             ids = quick.encode_to_numpy(t, disallowed_special=())
-        n = len(ids)
-        full = np.empty(n + 1, dtype="<u4")
-        full[:n] = ids
-        full[n] = end_id
-        stops = sentence[ids]
-        kept = stops.copy()
-        kept[:-1] |= word[ids[1:]]
-        at = np.flatnonzero(kept)
-        if len(at):
-            first = np.append(True, at[1:] // GRID != at[:-1] // GRID)
-            at = at[first | stops[at]]
-        yield full.tobytes(), np.append(at + 1, n + 1), np.append(np.where(stops[at], SENTENCE, WORD), 0)
+        full = np.empty(len(ids) + 1, dtype="<u4")
+        full[:-1] = ids
+        full[-1] = end_id
+        yield full
+
+
+def cuts_of(ids: np.ndarray, ends: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where a stream of documents that end at ``ends`` may be cut, 0 included, and the penalties."""
+    _, _, _, sentence, word = _library(path)
+    stops = sentence[ids]
+    kept = stops.copy()
+    kept[:-1] |= word[ids[1:]]
+    closed = np.zeros(len(ids), dtype=bool)
+    closed[ends - 1] = True
+    at = np.flatnonzero(kept | closed)
+    first = np.append(True, at[1:] // GRID != at[:-1] // GRID)
+    at = at[first | stops[at] | closed[at]]
+    return np.append(0, at + 1), np.append(0, np.where(closed[at], 0, np.where(stops[at], SENTENCE, WORD)))
 
 
 def fill_gaps(pos: np.ndarray, penalty: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,20 +164,16 @@ def powers_of_two(start: int, end: int) -> list[int]:
 class Packer:
     """Packs a stream of documents; ``add`` and ``finish`` give pieces."""
 
-    def __init__(self, length: int, first_sequence: int, block: int = 1 << 20):
-        self.length, self.sequence, self.block = length, first_sequence, block
+    def __init__(self, path: str, length: int, first_sequence: int, block: int = 1 << 20):
+        self.path, self.length, self.sequence, self.block = path, length, first_sequence, block
         self.docs: list[tuple[object, int, int]] = []  # id, ids packed before, ids of the document
-        self.raw: list[bytes] = []  # what is left of each
-        self.cuts: list[np.ndarray] = []
-        self.penalties: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []  # what is left of each
         self.held = 0
 
-    def add(self, doc_id: object, raw: bytes, cuts: np.ndarray, penalties: np.ndarray) -> Iterator[tuple]:
-        self.docs.append((doc_id, 0, len(raw) // 4))
-        self.raw.append(raw)
-        self.cuts.append(cuts)
-        self.penalties.append(penalties)
-        self.held += len(raw) // 4
+    def add(self, doc_id: object, ids: np.ndarray) -> Iterator[tuple]:
+        self.docs.append((doc_id, 0, len(ids)))
+        self.ids.append(ids)
+        self.held += len(ids)
         if self.held >= self.block:
             yield from self._pack(False)
 
@@ -180,37 +182,32 @@ class Packer:
             yield from self._pack(True)
 
     def _pack(self, last: bool) -> Iterator[tuple]:
-        sizes = np.asarray([len(r) // 4 for r in self.raw], np.int64)
-        offset = np.cumsum(sizes) - sizes
-        pos = np.concatenate([np.zeros(1, np.int64), *[c + o for c, o in zip(self.cuts, offset)]])
-        penalty = np.concatenate([np.zeros(1, np.int64), *self.penalties])
+        stream = np.concatenate(self.ids)
+        stops = np.cumsum([len(x) for x in self.ids])
+        pos, penalty = cuts_of(stream, stops, self.path)
         ends = windows(pos, penalty, self.length)
         if last:
             ends += powers_of_two(ends[-1] if ends else 0, self.held)
-        d = start = 0
+        raw, upto = memoryview(stream.tobytes()), stops.tolist()
+        d = start = begin = 0  # begin: where document d starts in the stream
         for end in ends:
             at = start
             while at < end:
-                while offset[d] + sizes[d] <= at:
-                    d += 1
+                if upto[d] <= at:
+                    begin, d = upto[d], d + 1
                 doc_id, done, total = self.docs[d]
-                stop = min(end, int(offset[d] + sizes[d]))
-                a = at - int(offset[d])
-                n = stop - at
-                yield doc_id, done + a, n, zlib.crc32(memoryview(self.raw[d])[4 * a : 4 * (a + n)]), total, self.sequence, at - start
+                stop = min(end, upto[d])
+                yield doc_id, done + at - begin, stop - at, zlib.crc32(raw[4 * at : 4 * stop]), total, self.sequence, at - start
                 at = stop
             self.sequence += 1
             start = end
-        while d < len(self.raw) and offset[d] + sizes[d] <= start:
-            d += 1
-        if d < len(self.raw):
-            a = start - int(offset[d])
+        if d < len(upto) and upto[d] <= start:
+            begin, d = upto[d], d + 1
+        if d < len(self.docs):
             doc_id, done, total = self.docs[d]
-            self.docs[d] = (doc_id, done + a, total)
-            self.raw[d] = self.raw[d][4 * a :]
-            later = self.cuts[d] > a
-            self.cuts[d], self.penalties[d] = self.cuts[d][later] - a, self.penalties[d][later]
-        self.docs, self.raw, self.cuts, self.penalties = self.docs[d:], self.raw[d:], self.cuts[d:], self.penalties[d:]
+            self.docs[d] = (doc_id, done + start - begin, total)
+            self.ids[d] = self.ids[d][start - begin :]
+        self.docs, self.ids = self.docs[d:], self.ids[d:]
         self.held -= start
 
 
@@ -226,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(length, TaskContext.get().partitionId() << 36)
+        packer = Packer(tokenizer, length, TaskContext.get().partitionId() << 36)
         kind = None
         rows: list[tuple] = []
 
@@ -239,8 +236,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, d
         for batch in batches:
             kind = batch.column(0).type
             ids = batch.column(0).to_pylist()
-            for i, (raw, cuts, penalties) in zip(ids, encode_documents(strings(batch.column(1)), tokenizer, end_id)):
-                rows.extend(packer.add(i, raw, cuts, penalties))
+            for i, encoded in zip(ids, encode_documents(strings(batch.column(1)), tokenizer, end_id)):
+                rows.extend(packer.add(i, encoded))
                 if len(rows) >= 20_000:
                     yield flush()
         rows.extend(packer.finish())
