@@ -290,3 +290,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     alone = base.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     out = linked.select("doc_id", "n", "component").unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without those that ``near_duplicates`` does not keep; of equal rows with one id, all stay or go.
+
+    Rows without id stay. Texts are not shuffled while the ids that go are few.
+    """
+    gone = cut_lineage(near_duplicates(docs.select("doc_id", "text"), size, percent).where("not kept and doc_id is not null").select("doc_id").distinct())
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)

@@ -1,14 +1,76 @@
-"""Corpus cleaning in stages; each stage's rows are written and read again by the next."""
+"""Corpus cleaning in stages; each stage's rows are written and read again by the next.
+
+toxicity -> near-duplicates -> repeated strings -> personal data -> packing. All
+stages but the last return the columns of ``documents``, whatever those are.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoloom.llm.common import shared_folder, table, tokenizer_path
+from chronoloom.llm.minhash import without_near_duplicates
+from chronoloom.llm.packing import pack
+from chronoloom.llm.pii import redacted
+from chronoloom.llm.repeats import without_repeats
+from chronoloom.llm.toxicity import fit, score
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is such a column, follows the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(kind))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model does not find toxic. It learns from the stage's own documents and the labels table."""
+    weights, bias = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, weights, bias).where("predicted = 0").drop("score", "predicted")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares word shingles of five words to 0.8 or more."""
+    return without_near_duplicates(docs, size=5, percent=80)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 200-byte strings that occur more than once among them."""
+    return _counted(without_repeats(docs))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with identifiers, plain or disguised, replaced by their kind."""
+    return _counted(redacted(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, as the packing operator gives them."""
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("repeats", repeats),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+#: No SQL: the first stage trains a model.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; what lies between them is kept in the cluster's shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
