@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import shlex
-from collections.abc import Callable
+import contextlib
+import itertools
+import subprocess
+import threading
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -51,8 +54,31 @@ def partition_by_key(records: DataFrame, partitions: int | None = None) -> DataF
 
 
 def pipe(lines: DataFrame, command: str) -> DataFrame:
-    """Each partition's lines through a shell command of its own; a failing command fails the job."""
-    spark = lines.sparkSession
-    piped = lines.rdd.map(lambda r: r[0]).pipe(f"/bin/sh -c {shlex.quote(command)}", checkCode=True)
-    return spark.createDataFrame(piped.map(lambda x: (x,)), "value string")
+    """Each partition's lines through a shell command of its own; a failing command fails the job.
 
+    Partitions without lines start none. Status 1 without any output is no failure,
+    as ``grep`` ends so where it lets nothing through.
+    """
+
+    def run(rows: Iterator) -> Iterator[tuple[str]]:
+        first = next(rows, None)
+        if first is None:
+            return
+        child = subprocess.Popen(["/bin/sh", "-c", command], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+        def feed() -> None:
+            with contextlib.suppress(BrokenPipeError), child.stdin as out:
+                for row in itertools.chain([first], rows):
+                    out.write(f"{row[0]}\n".encode())
+
+        feeder = threading.Thread(target=feed, daemon=True)
+        feeder.start()
+        said = False
+        for x in child.stdout:
+            said = True
+            yield (x.decode().rstrip("\n"),)
+        feeder.join()
+        if child.wait() not in ((0,) if said else (0, 1)):
+            raise RuntimeError(f"command ended with status {child.returncode}: {command}")
+
+    return lines.sparkSession.createDataFrame(lines.rdd.mapPartitions(run), "value string")

@@ -58,6 +58,8 @@ def _compact(db: Database, major: bool, transform, command: str | None, time_for
     if command is not None:
         lines = render_lines(partition_by_key(rows), time=time_format or "nanos", show_format=True)
         rows = parse_lines(pipe(lines, command), None, time_format)
+        if lines.limit(1).count() and rows.isEmpty():
+            raise ValueError("the command lets nothing through; delete the records instead")
     seq = 0 if major else max(d["seq"] for d in snapshot.data)
     path = f"data/tx-{seq:012d}-{uuid.uuid4().hex}"
     partition_by_key(rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD])).write.parquet(f"{db.root}/{path}")
