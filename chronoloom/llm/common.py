@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that Python counts as white space and the tokenizer libraries do not.
@@ -37,6 +41,38 @@ def text_slices(texts: list[str], max_chars: int = 1_000_000) -> Iterator[list[s
         yield part
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that their Python copies stay small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+_kept: dict[str, list[dict]] = {}
+
+
+def kept(operator: str) -> dict:
+    """A dict in which an operator keeps things in its Python worker from task to task."""
+    _kept.setdefault(operator, []).append(own := {})
+    return own
+
+
+def claim(operator: str) -> None:
+    """A task's operator takes over its worker: what the others have kept goes.
+
+    Else the caches of all operators of a job would add up in the workers, which
+    live on. Closures must call this and reach their caches by module functions,
+    as a dict that a closure names is copied into each task.
+    """
+    gone = [d for name, dicts in _kept.items() if name != operator for d in dicts if d]
+    for d in gone:
+        d.clear()
+    if gone:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def strings(column) -> list[str]:
     """An Arrow string column as Python strings; a null text counts as empty."""
     return [t if t is not None else "" for t in column.to_pylist()]

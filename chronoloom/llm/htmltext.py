@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import claim, small, strings
 
 # Elements that are part of the line they stand in.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -349,8 +349,9 @@ def main_texts(pages: DataFrame, model: Crf | None = None, page_id: str = "page_
     shared = pages.sparkSession.sparkContext.broadcast((crf.weight, np.asarray(crf.pair)))  # one number pair per feature of the training pages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("htmltext")
         own = Crf(*shared.value)
-        for batch in batches:
+        for batch in small(batches):
             texts = [own.main_text(p) for p in strings(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -15,13 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import claim, cut_lineage, kept, small
 from .components import components
 
 #: Bins of the one permutation, and the bands that they are cut in.
 BINS, BANDS = 128, 32
 CACHE_ENTRIES = 400_000
-_words: dict[bytes, int] = {}
+_words: dict[bytes, int] = kept("minhash")
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,7 +116,8 @@ def _digest(found: np.ndarray) -> tuple[int, int]:
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("minhash")
+        for batch in small(batches):
             n, one, two, keys = [], [], [], []
             for t in batch.column(1).to_pylist():
                 found = shingles(t, size)
@@ -144,8 +145,9 @@ def _confirm(size: int, percent: int):
     """Keeps the candidates (c, m, text of c, text of m) whose full sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         center, own = None, None
-        for batch in batches:
+        for batch in small(batches):
             kept = []
             for c, m, ct, mt in zip(*[x.to_pylist() for x in batch.columns]):
                 if own is None or ct != center:
@@ -178,7 +180,8 @@ def _short_sets(size: int):
     """Each text's set, its hashes cut to 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("minhash")
+        for batch in small(batches):
             sets = [np.unique(shingles(t, size).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "short"])
 

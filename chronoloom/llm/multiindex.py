@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import claim, cut_lineage, small
 from .components import components
 
 #: Vectors that codebooks are fitted on, and most words of one.
@@ -119,8 +119,9 @@ def _places(shared):
     """Each vector as an entry of its cell, and as a query of the cells that it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("multiindex")
         index = Index(*shared.value)
-        for batch in batches:
+        for batch in small(batches):
             vectors = np.asarray(batch.column(1).to_pylist(), np.float64)
             x = unit(vectors)
             for a in range(0, len(x), 512):

@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD_SPACES, strings
+from .common import ODD_SPACES, claim, kept, small, strings
 
 #: Penalties in tokens of a cut at the end of a sentence, of a word, and between two ids of a long word.
 SENTENCE, WORD, INSIDE = 1, 2, 12
 #: Of the word ends in a run of so many ids, the program may choose the first.
 GRID = 4
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, tuple] = kept("packing")
 
 
 def _bytes_of_symbols() -> dict[str, int]:
@@ -223,6 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         packer = Packer(tokenizer, length, TaskContext.get().partitionId() << 36)
         kind = None
         rows: list[tuple] = []
@@ -233,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, d
             rows.clear()
             return out
 
-        for batch in batches:
+        for batch in small(batches):
             kind = batch.column(0).type
             ids = batch.column(0).to_pylist()
             for i, encoded in zip(ids, encode_documents(strings(batch.column(1)), tokenizer, end_id)):

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, text_slices
+from .common import claim, kept, small, strings, text_slices
 
 MARK = "▁"
 CHUNKS = re.compile(r"\n+| *[^ \n]+| +")
 CACHE_ENTRIES = 300_000
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, tuple] = kept("pieces")
 
 
 def check_vocabulary(pieces: list[str]) -> bool:
@@ -99,7 +99,8 @@ def sentencepiece_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("pieces")
+        for batch in small(batches):
             n, ids_sha, text_sha = [], [], []
             for ids, decoded in encode_decode(strings(batch.column(1)), model):
                 n.append(ids.count(" ") + 1)
@@ -115,7 +116,8 @@ def token_ids(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "
     """The ids themselves, one array a document, with the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("pieces")
+        for batch in small(batches):
             got = list(encode_decode(strings(batch.column(1)), model))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[int(i) for i in ids.split()] for ids, _ in got], pa.list_(pa.int32())), pa.array([d for _, d in got], pa.string())], names=["doc_id", "ids", "decoded"])
 

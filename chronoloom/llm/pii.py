@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import claim, small, strings
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -241,7 +241,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("pii")
+        for batch in small(batches):
             counts: list[list[int]] = [[], [], [], []]
             sha, spans, more = [], [], []
             for t in strings(batch.column(1)):
@@ -265,7 +266,8 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with identifiers, plain or disguised, replaced by their kind; other columns stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("pii")
+        for batch in small(batches):
             k = batch.schema.get_field_index(text)
             out = []
             for t in batch.column(k).to_pylist():
@@ -278,4 +280,4 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             columns[k] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import claim, cut_lineage, small
 from .fragments import GRAM, fragments
 
 #: Fragments that are built together; a group is never cut.
@@ -132,7 +132,8 @@ def _anchor_counts(width: int):
     """Anchor hashes with their numbers, merged within a slice; strings of copied documents count twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("repeats")
+        for batch in small(batches):
             copied = batch.column(2).to_pylist()
             for data, ends, names, _ in slices(list(range(batch.num_rows)), _bytes(batch.column(1)), width):
                 h, first, _, _ = fragments(data, ends, width)
@@ -200,9 +201,10 @@ def _contents(width: int, shared):
     """Distinct fragments of each slice, with whether they occur more than once in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats")
         bits, raw = shared.value
         table = np.frombuffer(raw, np.uint8)
-        for batch in batches:
+        for batch in small(batches):
             copied = batch.column(2).to_pylist()
             for rows, h, _, anchor, content in _fragments_of(batch, width, bits, table):
                 seen: dict[tuple[int, bytes], list] = {}
@@ -223,13 +225,14 @@ def _references(width: int, shared):
     """Where fragments stand: digest, document, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats")
         bits, raw = shared.value
         table = np.frombuffer(raw, np.uint8)
-        for batch in batches:
+        for batch in small(batches):
             ids = np.asarray(batch.column(0).to_pylist(), np.int64)
             for rows, _, starts, _, content in _fragments_of(batch, width, bits, table):
                 one, two = _digest(content)
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(ids[rows]), pa.array(starts.astype(np.int64))], names=["c1", "c2", "row", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(ids[rows]), pa.array(starts.astype(np.int64))], names=["c1", "c2", "__row", "start"])
 
     return run
 
@@ -248,8 +251,9 @@ def _construct(width: int):
         return pa.RecordBatch.from_arrays([pa.array([one[k] for k in who], pa.int64()), pa.array([two[k] for k in who], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(pairs))], names=["c1", "c2", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats")
         held: list[list] = []
-        for batch in batches:
+        for batch in small(batches):
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if held and held[-1][1] == row[1] and held[-1][2] == row[2] and held[-1][0] == row[0]:
                     held[-1][4] = True  # the same fragment from another task
@@ -284,6 +288,8 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
+#: Columns beside those of the documents, which may have any names.
+ROW, SPANS, CUT = "__row", "__spans", "__cut"
 #: Ids or spans go to every task up to so many rows (at most about 100 bytes each), and meet in a sorted join beyond.
 BROADCAST_ROWS = 2_000_000
 
@@ -291,11 +297,11 @@ BROADCAST_ROWS = 2_000_000
 def _marked(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """``docs`` with the column ``name`` of ``rows``, which has a row a key at most; texts are not shuffled for few rows."""
     few = rows.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(rows) if few else rows, "row", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return docs.join(F.broadcast(rows) if few else rows, ROW, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def repeated_spans(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a key ``row``, and by that key ``spans``: flat pairs (start, end) of bytes that repeated strings cover.
+    """``docs`` with a key, and by that key spans: flat pairs (start, end) of bytes that repeated strings cover.
 
     A string of ``width`` bytes is repeated when it also starts anywhere else in
     the corpus, in the same document too. Matches never cross documents.
@@ -306,14 +312,14 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFr
     """
     sc = docs.sparkSession.sparkContext
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", text))
-    digest = keyed.select("row", F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), F.octet_length(text).alias("size")).where(F.col("size") >= width)
-    same = digest.groupBy("t1", "t2", "size").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = cut_lineage(digest.join(same, ["t1", "t2", "size"]).groupBy("row").agg((F.min("first") == F.col("row")).alias("lead"), F.min("size").alias("size")))
-    texts = keyed.where(F.octet_length("text") >= width).select("row", "text")
-    roles = copies.select("row", "lead", F.lit(True).alias("copied"))
+    keyed = docs.withColumn(ROW, F.xxhash64("doc_id", text))
+    digest = keyed.select(ROW, F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), F.octet_length(text).alias("size")).where(F.col("size") >= width)
+    same = digest.groupBy("t1", "t2", "size").agg(F.min(ROW).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = cut_lineage(digest.join(same, ["t1", "t2", "size"]).groupBy(ROW).agg((F.min("first") == F.col(ROW)).alias("lead"), F.min("size").alias("size")))
+    texts = keyed.where(F.octet_length("text") >= width).select(ROW, "text")
+    roles = copies.select(ROW, "lead", F.lit(True).alias("copied"))
     few = roles.count() <= BROADCAST_ROWS
-    texts = texts.join(F.broadcast(roles) if few else roles, "row", "left").where(F.coalesce("lead", F.lit(True))).select("row", "text", F.coalesce("copied", F.lit(False)).alias("copied"))
+    texts = texts.join(F.broadcast(roles) if few else roles, ROW, "left").where(F.coalesce("lead", F.lit(True))).select(ROW, "text", F.coalesce("copied", F.lit(False)).alias("copied"))
     # rows equal in id and text would stand here more than once; that changes no result, as all of them is repeated anyway
     shared = sc.broadcast(repeated_anchors(texts, width))
 
@@ -321,18 +327,19 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFr
     contents = texts.mapInArrow(_contents(width, shared), "h long, c1 long, c2 long, anchor int, many boolean, content binary")
     sorted_runs = contents.repartition(parts, "h").sortWithinPartitions("h", "c1", "c2")
     runs = sorted_runs.mapInArrow(_construct(width), "c1 long, c2 long, runs array<int>")
-    places = texts.where("not copied").mapInArrow(_references(width, shared), "c1 long, c2 long, row long, start long")
-    hits = places.join(runs, ["c1", "c2"]).select("row", F.transform("runs", lambda x: x + F.col("start")).alias("runs"))
-    found = hits.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("spans"))
-    whole = copies.select("row", F.array(F.lit(0).cast("long"), F.col("size").cast("long")).alias("spans"))
+    places = texts.where("not copied").mapInArrow(_references(width, shared), f"c1 long, c2 long, {ROW} long, start long")
+    hits = places.join(runs, ["c1", "c2"]).select(ROW, F.transform("runs", lambda x: x + F.col("start")).alias("runs"))
+    found = hits.groupBy(ROW).agg(F.flatten(F.collect_list("runs")).alias(SPANS))
+    whole = copies.select(ROW, F.array(F.lit(0).cast("long"), F.col("size").cast("long")).alias(SPANS))
     return keyed, cut_lineage(found.unionByName(whole))
 
 
 def _apply():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("repeats")
+        for batch in small(batches):
             size, removed, count, sha = [], [], [], []
-            for data, flat in zip(_bytes(batch.column("text")), batch.column("spans").to_pylist()):
+            for data, flat in zip(_bytes(batch.column("text")), batch.column(SPANS).to_pylist()):
                 spans = merged([flat]) if flat else []
                 size.append(len(data))
                 removed.append(sum(b - a for a, b in spans))
@@ -344,10 +351,11 @@ def _apply():
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    claim("repeats")
+    for batch in small(batches):
         k = batch.schema.get_field_index("text")
         out = []
-        for text, flat in zip(batch.column(k).to_pylist(), batch.column("spans").to_pylist()):
+        for text, flat in zip(batch.column(k).to_pylist(), batch.column(SPANS).to_pylist()):
             if flat and text is not None:
                 data = text.encode("utf-8", "surrogatepass")
                 inner = []
@@ -361,16 +369,16 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append(text)
         columns = list(batch.columns)
         columns[k] = pa.array(out, pa.string())
-        kept = [j for j, n in enumerate(batch.schema.names) if n != "spans"]
+        kept = [j for j, n in enumerate(batch.schema.names) if n != SPANS]
         yield pa.RecordBatch.from_arrays([columns[j] for j in kept], names=[batch.schema.names[j] for j in kept])
 
 
 def _split(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with spans, which move to meet them, and rows without, which stay where they are."""
-    ids = spans.select("row", F.lit(True).alias("cut"))
-    marked = _marked(docs, ids, "cut")
-    plain = marked.where("not cut").drop("cut").withColumn("spans", F.lit(None).cast("array<long>"))
-    return marked.where("cut").drop("cut").join(spans, "row"), plain
+    ids = spans.select(ROW, F.lit(True).alias(CUT))
+    marked = _marked(docs, ids, CUT)
+    plain = marked.where(~F.col(CUT)).drop(CUT).withColumn(SPANS, F.lit(None).cast("array<long>"))
+    return marked.where(F.col(CUT)).drop(CUT).join(spans, ROW), plain
 
 
 def repeat_digests(docs: DataFrame, width: int = 200) -> DataFrame:
@@ -384,7 +392,7 @@ def repeat_digests(docs: DataFrame, width: int = 200) -> DataFrame:
     kind = keyed.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     cut, plain = _split(keyed, spans)
-    one, two = (df.select("doc_id", "text", "spans").mapInArrow(_apply(), schema) for df in (cut, plain))
+    one, two = (df.select("doc_id", "text", SPANS).mapInArrow(_apply(), schema) for df in (cut, plain))
     return one.unionByName(two)
 
 
@@ -395,6 +403,5 @@ def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """
     names = docs.columns
     keyed, spans = repeated_spans(docs, width)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     cut, plain = _split(keyed, spans)
-    return cut.select(*names, "spans").mapInArrow(_cut_texts, schema).unionByName(plain.select(*names))
+    return cut.select(*names, SPANS).mapInArrow(_cut_texts, docs.schema).unionByName(plain.select(*names))

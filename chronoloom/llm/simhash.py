@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import claim, cut_lineage, kept, small
 
 BITS = 128
 CACHE_ENTRIES = 400_000
-_words: dict[str, int] = {}
+_words: dict[str, int] = kept("simhash")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ def _part(doc_id: Column, bounds: list[int]) -> Column:
     def step(acc: Column, s: Column) -> Column:
         return F.when((acc + s <= len(bounds)) & (F.get(values, acc + s - 1) >= doc_id), acc + s).otherwise(acc)
 
-    return F.coalesce(F.aggregate(steps, F.lit(0), step), F.lit(len(bounds)))
+    return F.when(doc_id.isNull(), F.lit(len(bounds))).otherwise(F.aggregate(steps, F.lit(0), step))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -124,8 +124,9 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("simhash")
     held: tuple | None = None  # part, id, text, fingerprint of the row that waits for its successor
-    for batch in batches:
+    for batch in small(batches):
         out: list[tuple] = []
         for part, copy, doc_id, text in zip(*[c.to_pylist() for c in batch.columns]):
             if held is None and copy:

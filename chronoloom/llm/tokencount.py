@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD_SPACES, strings, text_slices
+from .common import ODD_SPACES, claim, kept, small, strings, text_slices
 
 #: Entries of a worker's cache; it starts anew beyond that.
 CACHE_ENTRIES = 400_000
-_loaded: dict[str, tuple] = {}
-_tables: dict[tuple, dict[str, int]] = {}
+_loaded: dict[str, tuple] = kept("tokencount")
+_tables: dict[str, dict[str, int]] = kept("tokencount")
 
 
 def _library(path: str):
@@ -61,6 +61,15 @@ class _TwoTier(dict):
         return self.cache[chunk]
 
 
+def tier_one(key: str, shared) -> _TwoTier:
+    """The broadcast table as this worker keeps it."""
+    if key not in _tables:
+        _tables.clear()
+        joined, raw = shared.value
+        _tables[key] = _TwoTier(zip(joined.split("\n") if joined else [], np.frombuffer(raw, np.uint16).tolist()))
+    return _tables[key]
+
+
 def count_tokens(texts: list[str], path: str, hot: dict[str, int]) -> list[int]:
     """Tokens of each text, given tier one's lengths."""
     tok, special, cache = _library(path)
@@ -91,8 +100,9 @@ def count_tokens(texts: list[str], path: str, hot: dict[str, int]) -> list[int]:
 
 def _heavy_hitters(keep: int, limit: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokencount")
         counts: Counter[str] = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for part in text_slices(strings(batch.column(0))):
                 for t in part:
                     counts.update(t.split())
@@ -120,15 +130,13 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     hot = frequent_chunks(docs, text, table_size)
     lengths = np.asarray(chunk_lengths(tokenizer, hot), dtype=np.uint16) if hot else np.zeros(0, np.uint16)
     shared = docs.sparkSession.sparkContext.broadcast(("\n".join(hot), lengths.tobytes()))
-    key = (tokenizer, hashlib.sha1("\n".join(hot).encode()).hexdigest())
+    key = hashlib.sha1("\n".join([tokenizer, *hot]).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _tables:
-            _tables.clear()
-            joined, raw = shared.value
-            _tables[key] = _TwoTier(zip(joined.split("\n") if joined else [], np.frombuffer(raw, np.uint16).tolist()))
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count_tokens(strings(batch.column(2)), tokenizer, _tables[key]), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        claim("tokencount")
+        hot = tier_one(key, shared)
+        for batch in small(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count_tokens(strings(batch.column(2)), tokenizer, hot), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()

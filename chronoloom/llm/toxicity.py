@@ -27,13 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import strings, text_slices
+from .common import claim, kept, small, strings, text_slices
 
 BITS = 18
 WORDS = re.compile(r"[^\W_]+")
 CACHE_ENTRIES = 500_000
-_cache: dict[tuple, dict[str, float]] = {}
+_cache: dict[tuple, dict[str, float]] = kept("toxicity")
 
 
 def word_features(word: str) -> list[int]:
@@ -42,30 +43,47 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in raw]
 
 
-def text_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def text_vector(text: str) -> Vector:
     """Features of a text and their values: counts over the square root of its words, so that noise is alike for any length."""
     counts = Counter(WORDS.findall(text.lower()))
     n = sum(counts.values())
     idx = np.asarray([f for w in counts for f in word_features(w)], dtype=np.int64)
     val = np.asarray([c for w, c in counts.items() for _ in range(1 + max(0, min(7, len(w)) - 1))], dtype=np.float64)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     keys, at = np.unique(idx, return_inverse=True)
-    return keys, np.bincount(at, weights=val) / np.sqrt(n)
+    return keys.astype(np.int32), (np.bincount(at, weights=val) / np.sqrt(n)).astype(np.float32)
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("toxicity")
+    for batch in small(batches):
+        got = [text_vector(t) for t in strings(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["k", "v"])
+
+
+def _collected(texts: DataFrame) -> list[Vector]:
+    """The vectors of a bounded sample on the driver, in an order that does not depend on where they were made."""
+    rows = texts.select("text").mapInArrow(_vectors, "k binary, v binary").toArrow()
+    pairs = sorted(zip(rows.column("k").to_pylist(), rows.column("v").to_pylist()))
+    return [(np.frombuffer(k, np.int32), np.frombuffer(v, np.float32)) for k, v in pairs]
 
 
 class _Rows:
     """Sparse rows with a dot product and its transpose."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], kept: np.ndarray):
-        parts = [(np.where(kept[k] >= 0)[0], k, v) for k, v in vectors]
+    def __init__(self, vectors: list[Vector], place: np.ndarray):
+        parts = [(np.flatnonzero(place[k] >= 0), k, v) for k, v in vectors]
         self.n = len(vectors)
-        self.row = np.concatenate([np.full(len(s), r, np.int64) for r, (s, _, _) in enumerate(parts)]) if parts else np.zeros(0, np.int64)
-        self.col = np.concatenate([kept[k[s]] for s, k, _ in parts]) if parts else np.zeros(0, np.int64)
-        self.val = np.concatenate([v[s] for s, _, v in parts]) if parts else np.zeros(0)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s, _, _ in parts])
+        self.col = np.concatenate([place[k[s]] for s, k, _ in parts])
+        self.val = np.concatenate([v[s] for s, _, v in parts])
 
     def scale(self, by: np.ndarray) -> None:
-        self.val = self.val * by[self.col]
+        self.val = (self.val * by[self.col]).astype(np.float32)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.val * w[self.col], minlength=self.n)
@@ -78,21 +96,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, least: int = 3, sure: float = 2.0) -> tuple[np.ndarray, float]:
+def train(p_vec: list[Vector], u_vec: list[Vector], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, least: int = 3, sure: float = 2.0) -> tuple[np.ndarray, float]:
     """Weights by hashed feature, and the bias. Without positive or unlabelled texts: zeros and the prior's log-odds."""
     prior = min(max(prior, 1e-4), 0.9)
     weights = np.zeros(1 << BITS)
     bias = float(np.log(prior / (1 - prior)))
-    p_vec, u_vec = [text_vector(t) for t in positive], [text_vector(t) for t in unlabelled]
     seen = np.zeros(1 << BITS, dtype=np.int64)
     for k, _ in p_vec:
         seen[k] += 1
     found = np.flatnonzero(seen >= min(least, max(1, len(p_vec))))  # others cannot speak for the positive class
     if not len(p_vec) or not len(u_vec) or not len(found):
         return weights, bias
-    kept = np.full(1 << BITS, -1, np.int64)
-    kept[found] = np.arange(len(found))
-    P, U = _Rows(p_vec, kept), _Rows(u_vec, kept)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[found] = np.arange(len(found))
+    P, U = _Rows(p_vec, place), _Rows(u_vec, place)
     width = len(found)
     # a feature counts as far as its share among toxic texts surely exceeds, or falls below, that among all
     p_df = np.bincount(P.col, minlength=width) + 0.5
@@ -144,6 +161,14 @@ def score_texts(texts: list[str], weights: np.ndarray, bias: float, cache: dict[
     return out
 
 
+def word_scores(model: tuple) -> dict[str, float]:
+    """This worker's scores of words by the model."""
+    if model not in _cache:
+        _cache.clear()
+        _cache[model] = {}
+    return _cache[model]
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no label is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
@@ -163,29 +188,26 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: i
     ids = [(r.doc_id,) for r in _sample(known.where("toxic = 1").select("doc_id"), positives, 1).collect()]
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long"))  # at most about ``positives`` ids
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    p = [r.text for r in texts.join(chosen, "doc_id", "left_semi").orderBy("doc_id").collect()] if ids else []
+    p = _collected(texts.join(chosen, "doc_id", "left_semi")) if ids else []
     rest = _sample(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text"), unlabelled, 2)
-    u = [r.text or "" for r in rest.orderBy("doc_id", "text").collect()]
+    u = _collected(rest)
     return train(p, u, (toxic or 0) / n if n else 0.01)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; a null text is scored as empty."""
+def score(docs: DataFrame, weights: np.ndarray, bias: float, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with a score and a prediction in the columns ``names``; a null text is scored as empty."""
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # 2**BITS numbers, whatever the input
     key = (zlib.crc32(weights.tobytes()), bias)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         w, b = shared.value
-        cache = _cache.get(key)
-        if cache is None:
-            _cache.clear()
-            cache = _cache[key] = {}
-        for batch in batches:
+        cache = word_scores(key)
+        for batch in small(batches):
             got = score_texts(strings(batch.column("text")), w, b, cache)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64()), pa.array([int(x >= 0.5) for x in got], pa.int32())], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64()), pa.array([int(x >= 0.5) for x in got], pa.int32())], names=[*batch.schema.names, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

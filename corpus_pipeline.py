@@ -31,7 +31,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not find toxic. It learns from the stage's own documents and the labels table."""
     weights, bias = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, weights, bias).where("predicted = 0").drop("score", "predicted")
+    return score(docs, weights, bias, ("__score", "__toxic")).where("__toxic = 0").drop("__score", "__toxic")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
