@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import ODD_SPACES, claim, kept, small, strings, text_slices
 
 #: Entries of a worker's cache; it starts anew beyond that.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 _loaded: dict[str, tuple] = kept("tokencount")
 _tables: dict[str, dict[str, int]] = kept("tokencount")
 
@@ -104,10 +104,11 @@ def _heavy_hitters(keep: int, limit: int) -> Callable:
         counts: Counter[str] = Counter()
         for batch in small(batches):
             for part in text_slices(strings(batch.column(0))):
-                for t in part:
-                    counts.update(t.split())
-                if len(counts) > limit:  # forget the rare ones; tier one only has to be good, not exact
-                    counts = Counter(dict(counts.most_common(limit // 2)))
+                counts.update(" ".join(part).split())
+            floor = 1
+            while len(counts) > limit:  # forget the rarest; tier one only has to be good, not exact
+                counts = Counter({c: n for c, n in counts.items() if n > floor})
+                floor += 1
         best = counts.most_common(keep)
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["chunk", "n"])
 
@@ -116,7 +117,7 @@ def _heavy_hitters(keep: int, limit: int) -> Callable:
 
 def frequent_chunks(docs: DataFrame, text: str, table_size: int, per_task: int = 2048) -> list[str]:
     """The corpus's most frequent chunks, at most ``table_size`` (it bounds what the driver gets)."""
-    found = docs.select(text).mapInArrow(_heavy_hitters(per_task, 200_000), "chunk string, n long")
+    found = docs.select(text).mapInArrow(_heavy_hitters(per_task, 60_000), "chunk string, n long")
     best = found.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(table_size)
     return [r.chunk for r in best.collect()]
 
