@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
+from .oracles import oracle_sql as oracle_sql
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_packing": op10_packing,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

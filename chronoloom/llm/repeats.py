@@ -12,6 +12,10 @@ collection), and the lengths of common prefixes of neighbours follow from minima
 over the old ones. A string is repeated when its suffix has a neighbour with a
 common prefix of at least ``width``. Groups are packed in collections of bounded
 size; each is read, as sorted runs, from the shuffle's sequential files.
+
+Anchors that occur very often would make groups that no task should hold. The
+strings of their fragments are counted by a digest instead, pre-aggregated in
+each task, so that no key gathers more than one row per task.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .fragments import GRAM, fragments
 COLLECTION = 16_384
 #: Bytes that are cut in fragments at once, and of one text.
 SLICE = 1 << 20
+#: Anchors that occur more often have groups too large for one task; their strings are counted one by one.
+HOT = 200_000
 #: Most bits of the broadcast table of repeated anchors: 32 MB.
 MOST_BITS = 28
 _PAIRS = pa.list_(pa.int32())
@@ -158,18 +164,19 @@ def _bitmap(bits: int):
     return run
 
 
-def repeated_anchors(docs: DataFrame, width: int) -> tuple[int, bytes]:
-    """A table of bits, one set for each anchor hash that occurs more than once; others may share them."""
-    counts = docs.mapInArrow(_anchor_counts(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+def repeated_anchors(docs: DataFrame, width: int) -> tuple[int, bytes, list[int]]:
+    """A table of bits, one set for each anchor hash that occurs more than once (others may share them), and the hot anchors."""
+    counts = docs.mapInArrow(_anchor_counts(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     counts = cut_lineage(counts)
     bits = min(MOST_BITS, max(16, (16 * counts.count()).bit_length()))
     chunk = F.shiftright(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), 19)
-    rows = counts.withColumn("chunk", chunk).groupBy("chunk").applyInArrow(_bitmap(bits), "chunk long, bitmap binary").collect()  # 2**MOST_BITS bits at most
+    hot = sorted(r.h for r in counts.where(F.col("n") > HOT).select("h").collect())  # no more than a share of 1 / HOT of all
+    rows = counts.select("h").withColumn("chunk", chunk).groupBy("chunk").applyInArrow(_bitmap(bits), "chunk long, bitmap binary").collect()  # 2**MOST_BITS bits at most
     out = bytearray(max(1, (1 << bits) >> 3))
     for r in rows:
         at = r.chunk << 16
         out[at : at + len(r.bitmap)] = r.bitmap
-    return bits, bytes(out)
+    return bits, bytes(out), hot
 
 
 def _kept(h: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
@@ -177,11 +184,16 @@ def _kept(h: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _fragments_of(batch: pa.RecordBatch, width: int, bits: int, table: np.ndarray) -> Iterator[tuple]:
-    """Fragments that may hold repeated strings: ids, hash, start in the text, start of the anchor, content, all as columns."""
+def _fragments_of(batch: pa.RecordBatch, width: int, shared, hot: bool = False) -> Iterator[tuple]:
+    """Fragments that may hold repeated strings: ids, hash, start in the text, start of the anchor, content, all as columns.
+
+    Either those of hot anchors alone, or all others.
+    """
+    bits, raw, often = shared.value
+    table, often = np.frombuffer(raw, np.uint8), np.asarray(often, np.int64)
     for data, ends, names, base in slices(list(range(batch.num_rows)), _bytes(batch.column(1)), width):
         h, first, size, anchor = fragments(data, ends, width)
-        ok = np.flatnonzero(_kept(h, bits, table)) if len(h) else []
+        ok = np.flatnonzero(_kept(h, bits, table) & (np.isin(h.view(np.int64), often) == hot)) if len(h) else []
         if len(ok):
             h, first, size, anchor = h[ok], first[ok], size[ok], anchor[ok]
             piece = np.searchsorted(ends, first, side="right")
@@ -202,11 +214,9 @@ def _contents(width: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("repeats")
-        bits, raw = shared.value
-        table = np.frombuffer(raw, np.uint8)
         for batch in small(batches):
             copied = batch.column(2).to_pylist()
-            for rows, h, _, anchor, content in _fragments_of(batch, width, bits, table):
+            for rows, h, _, anchor, content in _fragments_of(batch, width, shared):
                 seen: dict[tuple[int, bytes], list] = {}
                 for row, k, a, c in zip(rows.tolist(), h.tolist(), anchor.tolist(), content):
                     known = seen.get((k, c))
@@ -226,17 +236,41 @@ def _references(width: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("repeats")
-        bits, raw = shared.value
-        table = np.frombuffer(raw, np.uint8)
         for batch in small(batches):
             ids = np.asarray(batch.column(0).to_pylist(), np.int64)
-            for rows, _, starts, _, content in _fragments_of(batch, width, bits, table):
+            for rows, _, starts, _, content in _fragments_of(batch, width, shared):
                 one, two = _digest(content)
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(ids[rows]), pa.array(starts.astype(np.int64))], names=["c1", "c2", "__row", "start"])
 
     return run
 
 
+def _hot_strings(width: int, shared, places: bool):
+    """Strings of fragments with hot anchors, by digest: their numbers in a slice, or where they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats")
+        for batch in small(batches):
+            ids, last = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for rows, _, starts, _, content in _fragments_of(batch, width, shared, hot=True):
+                strings, who, at = [], [], []
+                for row, start, c in zip(rows.tolist(), starts.tolist(), content):
+                    n = len(c) - width + 1
+                    strings += [c[k : k + width] for k in range(n)]
+                    who += [row] * n
+                    at += range(start, start + n)
+                one, two = _digest(strings)
+                if places:
+                    yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([ids[k] for k in who], pa.int64()), pa.array(at, pa.int64())], names=["c1", "c2", "__row", "start"])
+                else:
+                    count: dict[tuple[int, int], int] = {}
+                    for key, row in zip(zip(one, two), who):
+                        count[key] = count.get(key, 0) + 1 + last[row]
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.int64()), pa.array([k[1] for k in count], pa.int64()), pa.array(count.values(), pa.int64())], names=["c1", "c2", "n"])
+
+    return run
+
+
 def _construct(width: int):
     """Sorted fragments of whole groups: for each distinct one with repeated strings, the runs of their starts."""
 
@@ -321,7 +355,8 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFr
     few = roles.count() <= BROADCAST_ROWS
     texts = texts.join(F.broadcast(roles) if few else roles, ROW, "left").where(F.coalesce("lead", F.lit(True))).select(ROW, "text", F.coalesce("copied", F.lit(False)).alias("copied"))
     # rows equal in id and text would stand here more than once; that changes no result, as all of them is repeated anyway
-    shared = sc.broadcast(repeated_anchors(texts, width))
+    anchors = repeated_anchors(texts, width)
+    shared = sc.broadcast(anchors)  # 2**MOST_BITS bits at most
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     contents = texts.mapInArrow(_contents(width, shared), "h long, c1 long, c2 long, anchor int, many boolean, content binary")
@@ -329,6 +364,10 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFr
     runs = sorted_runs.mapInArrow(_construct(width), "c1 long, c2 long, runs array<int>")
     places = texts.where("not copied").mapInArrow(_references(width, shared), f"c1 long, c2 long, {ROW} long, start long")
     hits = places.join(runs, ["c1", "c2"]).select(ROW, F.transform("runs", lambda x: x + F.col("start")).alias("runs"))
+    if anchors[2]:
+        often = texts.mapInArrow(_hot_strings(width, shared, False), "c1 long, c2 long, n long").groupBy("c1", "c2").agg(F.sum("n").alias("n")).where("n > 1").select("c1", "c2")
+        stand = texts.where("not copied").mapInArrow(_hot_strings(width, shared, True), f"c1 long, c2 long, {ROW} long, start long")
+        hits = hits.unionByName(stand.join(often, ["c1", "c2"]).select(ROW, F.array("start", F.col("start") + width).alias("runs")))
     found = hits.groupBy(ROW).agg(F.flatten(F.collect_list("runs")).alias(SPANS))
     whole = copies.select(ROW, F.array(F.lit(0).cast("long"), F.col("size").cast("long")).alias(SPANS))
     return keyed, cut_lineage(found.unionByName(whole))

@@ -80,8 +80,9 @@ def test_digests(docs, texts, empty, spark):
     assert repeats.repeat_digests(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_copies(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, hot", [(0, 10**9), (1, 10**9), (2, 3), (3, 0)])
+def test_random_copies(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
     r = random.Random(seed)
     pool = ["".join(r.choices("abcde é", k=r.randint(1, 400))) for _ in range(12)]
     texts = ["".join(r.choices(pool, k=r.randint(0, 5))) for _ in range(40)] + ["ab" * 300, "ba" * 150, "z" * 1000]
