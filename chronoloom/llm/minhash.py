@@ -20,7 +20,7 @@ from .components import components
 
 #: Bins of the one permutation, and the bands that they are cut in.
 BINS, BANDS = 128, 32
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 _words: dict[bytes, int] = kept("minhash")
 _A = np.uint64(0x9E3779B97F4A7C15)
 

@@ -22,7 +22,7 @@ from .common import claim, kept, small, strings, text_slices
 
 MARK = "▁"
 CHUNKS = re.compile(r"\n+| *[^ \n]+| +")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 _loaded: dict[str, tuple] = kept("pieces")
 
 

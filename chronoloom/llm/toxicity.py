@@ -33,7 +33,7 @@ from .common import claim, kept, small, strings, text_slices
 
 BITS = 18
 WORDS = re.compile(r"[^\W_]+")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 _cache: dict[tuple, dict[str, float]] = kept("toxicity")
 
 
@@ -58,20 +58,35 @@ def text_vector(text: str) -> Vector:
     return keys.astype(np.int32), (np.bincount(at, weights=val) / np.sqrt(n)).astype(np.float32)
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim("toxicity")
-    for batch in small(batches):
-        got = [text_vector(t) for t in strings(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["k", "v"])
+def _collected(texts: DataFrame, among: np.ndarray | None = None) -> list[Vector]:
+    """The vectors of a bounded sample on the driver, in an order that does not depend on where they were made.
 
+    ``among`` marks the features that matter; others stay on the executors.
+    """
+    marks = None if among is None else np.packbits(among).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
+        wanted = None if marks is None else np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
+        for batch in small(batches):
+            got = [text_vector(t) for t in strings(batch.column(0))]
+            if wanted is not None:
+                got = [(k[ok], v[ok]) for k, v in got for ok in [wanted[k]]]
+            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["k", "v"])
 
-def _collected(texts: DataFrame) -> list[Vector]:
-    """The vectors of a bounded sample on the driver, in an order that does not depend on where they were made."""
-    rows = texts.select("text").mapInArrow(_vectors, "k binary, v binary").toArrow()
+    rows = texts.select("text").mapInArrow(run, "k binary, v binary").toArrow()
     pairs = sorted(zip(rows.column("k").to_pylist(), rows.column("v").to_pylist()))
     return [(np.frombuffer(k, np.int32), np.frombuffer(v, np.float32)) for k, v in pairs]
 
 
+def telling(positive: list[Vector], least: int = 3) -> np.ndarray:
+    """Marks of the features that enough positive texts have; others cannot speak for the class."""
+    seen = np.zeros(1 << BITS, dtype=np.int64)
+    for k, _ in positive:
+        seen[k] += 1
+    return seen >= min(least, max(1, len(positive)))
+
+
 class _Rows:
     """Sparse rows with a dot product and its transpose."""
 
@@ -96,15 +111,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(p_vec: list[Vector], u_vec: list[Vector], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, least: int = 3, sure: float = 2.0) -> tuple[np.ndarray, float]:
+def train(p_vec: list[Vector], u_vec: list[Vector], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, sure: float = 2.0) -> tuple[np.ndarray, float]:
     """Weights by hashed feature, and the bias. Without positive or unlabelled texts: zeros and the prior's log-odds."""
     prior = min(max(prior, 1e-4), 0.9)
     weights = np.zeros(1 << BITS)
     bias = float(np.log(prior / (1 - prior)))
-    seen = np.zeros(1 << BITS, dtype=np.int64)
-    for k, _ in p_vec:
-        seen[k] += 1
-    found = np.flatnonzero(seen >= min(least, max(1, len(p_vec))))  # others cannot speak for the positive class
+    found = np.flatnonzero(telling(p_vec))
     if not len(p_vec) or not len(u_vec) or not len(found):
         return weights, bias
     place = np.full(1 << BITS, -1, np.int32)
@@ -190,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: i
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     p = _collected(texts.join(chosen, "doc_id", "left_semi")) if ids else []
     rest = _sample(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text"), unlabelled, 2)
-    u = _collected(rest)
+    u = _collected(rest, telling(p))
     return train(p, u, (toxic or 0) / n if n else 0.01)
 
 
