@@ -117,7 +117,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     prior = F.get(F.array(*[F.lit(before.get(p)).cast("int") for p in range(top)]), F.col("part"))
     also = F.when(F.col("doc_id").eqNullSafe(head), F.array("part", prior)).otherwise(F.array("part"))
     spread = keyed.select("doc_id", "text", F.posexplode(also).alias("copy", "part"))
-    return spread.repartition(parts, "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), "text")
+    return spread.repartitionById(parts, "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
