@@ -15,12 +15,14 @@ import json
 import time
 import uuid
 import warnings
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.formats import RECORD, infer_format, pack_columns
+from ..functions.formats import RECORD, infer_format, pack_columns, wide_schema
 from ..functions.predicates import MOST_NANOS, key_range, nanos_of, parse_time, time_range, wildcard
 from ..operators.keys import by_key
 from ..operators.merge import DELETES, latest_wins, suppress
@@ -133,6 +135,16 @@ class Snapshot:
     def all_records(self) -> DataFrame:
         return self.records_of(self.data)
 
+    def transaction(self, number: int) -> DataFrame | dict:
+        """What one transaction holds: its records, or the marker that it is."""
+        for d in self.deletes:
+            if d["txid"] == number:
+                return dict(d)
+        found = tuple(d for d in self.data if d["seq"] == number)
+        if not found:
+            raise KeyError(number)
+        return self.records_of(found)
+
     def delete_rows(self) -> DataFrame:
         return self.spark.createDataFrame([tuple(d.get(f.name) for f in DELETES) for d in self.deletes], DELETES)
 
@@ -296,6 +308,12 @@ class Transaction:
         stamp = F.col(time) if df.schema[time].dataType.typeName() == "long" else nanos_of(time)
         return self.add(df.select(F.col(key).alias("key"), stamp.alias("ts_nanos"), F.lit(fmt).alias("fmt"), pack_columns(fmt, *[F.col(f.name) for f in values]).alias("cols")))
 
+    def add_rows(self, fmt: str, rows: Iterable[tuple]) -> Transaction:
+        """Python rows ``(key, nanoseconds, value, ...)`` of one format, for small transactions."""
+        fields = [T.StructField("key", T.StringType()), T.StructField("ts_nanos", T.LongType()), *wide_schema(fmt)]
+        df = self.db.spark.createDataFrame([tuple(r) for r in rows], T.StructType(fields))
+        return self.add(df.select("key", "ts_nanos", F.lit(fmt).alias("fmt"), pack_columns(fmt, *[F.col(f.name) for f in fields[2:]]).alias("cols")))
+
     def rollback(self) -> None:
         if not self.done:
             self.db.files.delete(self.staging)

@@ -1,4 +1,5 @@
 import io
+import random
 import threading
 import urllib.request
 from urllib.error import HTTPError
@@ -237,3 +238,37 @@ def test_command_line(spark, tmp_path):
     run("delete", "b")
     run("compact", "--major")
     assert run("read", "%", "--parallel", "wc -l").split() == ["1"]
+
+
+def test_rows_and_single_transactions(db):
+    db.transaction().add_rows("uFs", [("a", 1, 5, 2.5, "x"), ("b", 2, 6, 0.5, "y")]).commit()
+    db.delete("b")
+    snap = db.snapshot()
+    assert snap.transaction(1).count() == 2 and snap.transaction(2)["wildcard"] == "b"
+    with pytest.raises(KeyError):
+        snap.transaction(9)
+    assert seen(db) == ["a\t1\tuFs\t5 2.50000000000000000 x"]
+    with pytest.raises(Exception, match="out of range"):
+        db.transaction().add_rows("u", [("a", 1, -1)]).commit()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_compaction_changes_nothing(db, seed):
+    """Random transactions, deletions and compactions against a dict."""
+    r = random.Random(seed)
+    model = {}
+    for _ in range(7):
+        step = r.random()
+        if step < 0.55:
+            rows = {(r.choice("abcd") + r.choice("xy"), r.randint(0, 5)): r.randint(0, 99) for _ in range(r.randint(1, 8))}
+            db.transaction().add_rows("u", [(k, t, v) for (k, t), v in rows.items()]).commit()
+            model.update(rows)
+        elif step < 0.8:
+            key, low, high = r.choice(["%", "a%", "%y"]), r.choice([None, 2]), r.choice([None, 4])
+            db.delete(key, after_time=low, before_time=high)
+            hit = lambda k: key == "%" or (k.startswith("a") if key == "a%" else k.endswith("y"))  # noqa: B023, E731
+            model = {(k, t): v for (k, t), v in model.items() if not (hit(k) and (low is None or t >= low) and (high is None or t < high))}
+        else:
+            compact(db, major=r.random() < 0.5)
+        got = {(x.key, x.ts_nanos): x.v for x in db.snapshot().resolved().select("key", "ts_nanos", typed(0, "u64").cast("int").alias("v")).collect()}
+        assert got == model
