@@ -69,6 +69,7 @@ def claim(operator: str) -> None:
         d.clear()
     if gone:
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -100,6 +100,12 @@ class _Rows:
     def scale(self, by: np.ndarray) -> None:
         self.val = (self.val * by[self.col]).astype(np.float32)
 
+    def only(self, used: np.ndarray) -> None:
+        """Drop the features that are not used, and number the others anew."""
+        ok = used[self.col]
+        self.row, self.val = self.row[ok], self.val[ok]
+        self.col = (np.cumsum(used) - 1).astype(np.int32)[self.col[ok]]
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.val * w[self.col], minlength=self.n)
 
@@ -130,6 +136,10 @@ def train(p_vec: list[Vector], u_vec: list[Vector], prior: float, steps: int = 2
     by = np.sign(ratio) * np.maximum(0, np.abs(ratio) - sure * np.sqrt(1 / p_df + 1 / u_df))
     P.scale(by)
     U.scale(by)
+    used = by != 0
+    P.only(used)
+    U.only(used)
+    found, by, width = found[used], by[used], int(used.sum())
     w, b = np.zeros(width), bias
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, steps + 1):
