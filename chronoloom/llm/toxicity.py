@@ -11,8 +11,11 @@ that is where the model would start to fit single unlabelled rows. A word gives
 itself and its beginnings as features, so families of words share weight. As the
 model is linear, scoring is a sum of one number per word, kept by each worker.
 
-Training reads a bounded sample (``positives`` and ``unlabelled`` rows; the
-class prior counts every labelled row outside the held-out fold). Scoring reads
+The scale and offset of the logits are then fitted on positives that a model of
+the other half has not seen, and on texts that are known not to be toxic.
+
+Training reads a bounded sample (``positives``, ``unlabelled`` and ``negatives``
+rows; the class prior counts every labelled row outside the held-out fold). Scoring reads
 every whole text.
 """
 
@@ -162,6 +165,44 @@ def train(p_vec: list[Vector], u_vec: list[Vector], prior: float, steps: int = 2
     return weights, float(b)
 
 
+def logits(vectors: list[Vector], weights: np.ndarray, bias: float) -> np.ndarray:
+    return np.asarray([float(v @ weights[k]) + bias for k, v in vectors])
+
+
+def calibration(positive: np.ndarray, negative: np.ndarray, prior: float, steps: int = 60) -> tuple[float, float]:
+    """Slope and offset that turn logits into log-odds: a logistic fit in which the classes weigh as the prior says."""
+    z = np.concatenate([positive, negative])
+    spread = max(1e-9, float(z.std()))
+    z = z / spread
+    y = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
+    share = np.concatenate([np.full(len(positive), prior / len(positive)), np.full(len(negative), (1 - prior) / len(negative))])
+    a, b = 1.0, 0.0
+    for _ in range(steps):  # Newton's method, damped by a small penalty on the slope
+        p = _sigmoid(a * z + b)
+        g = np.asarray([(share * (p - y) * z).sum() + 1e-3 * (a - 1), (share * (p - y)).sum()])
+        r = share * np.maximum(p * (1 - p), 1e-9)
+        h = np.asarray([[(r * z * z).sum() + 1e-3, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-9]])
+        da, db = np.linalg.solve(h, g)
+        step = min(1.0, 2.0 / max(1e-9, abs(da), abs(db)))
+        a, b = a - step * da, b - step * db
+    return (float(a) / spread, float(b)) if a > 0 and np.isfinite([a, b]).all() else (1.0, 0.0)
+
+
+def train_calibrated(p_vec: list[Vector], u_vec: list[Vector], n_vec: list[Vector], prior: float) -> tuple[np.ndarray, float]:
+    """The model of all rows, calibrated on positives that a model of the other half has not seen, and on known negatives."""
+    weights, bias = train(p_vec, u_vec, prior)
+    halves = p_vec[::2], p_vec[1::2]
+    if min(map(len, halves)) < 10 or len(n_vec) < 20:
+        return weights, bias
+    seen, clean = [], []
+    for own, other in (halves, halves[::-1]):
+        w, b = train(own, u_vec, prior)
+        seen.append(logits(other, w, b))
+        clean.append(logits(n_vec, w, b))
+    a, c = calibration(np.concatenate(seen), np.concatenate(clean), prior)
+    return weights * a, bias * a + c
+
+
 def score_texts(texts: list[str], weights: np.ndarray, bias: float, cache: dict[str, float]) -> list[float]:
     out = []
     for part in text_slices(texts):
@@ -202,18 +243,22 @@ def _sample(df: DataFrame, rows: int, salt: int) -> DataFrame:
     return df if share >= 1 else df.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 5000) -> tuple[np.ndarray, float]:
-    """Train on confirmed toxic documents and on unlabelled ones, none of them in the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 5000, negatives: int = 2000) -> tuple[np.ndarray, float]:
+    """Train on confirmed toxic documents and on unlabelled ones, calibrate on known others; none is of the held-out fold."""
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
-    ids = [(r.doc_id,) for r in _sample(known.where("toxic = 1").select("doc_id"), positives, 1).collect()]
-    chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long"))  # at most about ``positives`` ids
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    p = _collected(texts.join(chosen, "doc_id", "left_semi")) if ids else []
-    rest = _sample(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text"), unlabelled, 2)
-    u = _collected(rest, telling(p))
-    return train(p, u, (toxic or 0) / n if n else 0.01)
+
+    def labelled(toxic: int, rows: int, among: np.ndarray | None = None) -> list[Vector]:
+        ids = [(r.doc_id,) for r in _sample(known.where(F.col("toxic") == toxic).select("doc_id"), rows, 1).collect()]
+        chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long"))  # about ``rows`` ids at most
+        return _collected(texts.join(chosen, "doc_id", "left_semi"), among) if ids else []
+
+    p = labelled(1, positives)
+    marks = telling(p)
+    u = _collected(_sample(texts.where(~held_out(F.col("doc_id"))), unlabelled, 2), marks)
+    return train_calibrated(p, u, labelled(0, negatives, marks), (toxic or 0) / n if n else 0.01)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
