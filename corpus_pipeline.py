@@ -29,28 +29,45 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model does not find toxic. It learns from the stage's own documents and the labels table."""
+    """Documents that the model does not find toxic. It learns from the stage's own documents and the labels table.
+
+    Null and empty texts score as the bias says, which is clean unless most labels
+    are toxic. Repeated rows go or stay alike, whatever their ids. Without labels
+    nothing is rejected. Other columns pass as they are; an empty table stays empty.
+    """
     weights, bias = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, weights, bias, ("__score", "__toxic")).where("__toxic = 0").drop("__score", "__toxic")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares word shingles of five words to 0.8 or more."""
+    """One document of each group that shares word shingles of five words to 0.8 or more, the one of least id.
+
+    Documents without words (null, empty, white space) and rows without id all
+    stay. Rows that repeat the id that stays, stay with it. Other columns pass as
+    they are; an empty table stays empty.
+    """
     return without_near_duplicates(docs, size=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 200-byte strings that occur more than once among them."""
+    """Texts without the 200-byte strings that occur more than once among them; every place loses them.
+
+    No row goes: a text that is repeated as a whole becomes empty, a null stays
+    null, texts under 200 bytes stay as they are. ``n_chars`` follows the text.
+    """
     return _counted(without_repeats(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with identifiers, plain or disguised, replaced by their kind."""
+    """Texts with identifiers, plain or disguised, replaced by their kind in brackets.
+
+    Null and empty texts stay; overlapping finds become one bracket. ``n_chars`` follows the text.
+    """
     return _counted(redacted(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, as the packing operator gives them."""
+    """Pieces of token sequences, as the packing operator gives them; a null or empty text is its end id alone."""
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
