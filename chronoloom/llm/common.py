@@ -57,6 +57,14 @@ def kept(operator: str) -> dict:
     return own
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def claim(operator: str) -> None:
     """A task's operator takes over its worker: what the others have kept goes.
 
@@ -68,10 +76,7 @@ def claim(operator: str) -> None:
     for d in gone:
         d.clear()
     if gone:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
 
 
 def strings(column) -> list[str]:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, kept, small, strings, text_slices
+from .common import claim, kept, small, strings, text_slices, trim
 
 BITS = 18
 WORDS = re.compile(r"[^\W_]+")
@@ -82,32 +82,32 @@ def _collected(texts: DataFrame, among: np.ndarray | None = None) -> list[Vector
     return [(np.frombuffer(k, np.int32), np.frombuffer(v, np.float32)) for k, v in pairs]
 
 
-def telling(positive: list[Vector], least: int = 3) -> np.ndarray:
-    """Marks of the features that enough positive texts have; others cannot speak for the class."""
-    seen = np.zeros(1 << BITS, dtype=np.int64)
-    for k, _ in positive:
-        seen[k] += 1
-    return seen >= min(least, max(1, len(positive)))
+def telling(positive: list[Vector], least: int = 3, share: float = 0.005) -> np.ndarray:
+    """Marks of the features that enough positive texts have, in number and as a share; others cannot speak for the class."""
+    return _document_counts(positive) >= max(min(least, max(1, len(positive))), share * len(positive))
 
 
-class _Rows:
-    """Sparse rows with a dot product and its transpose."""
+def _document_counts(vectors: list[Vector]) -> np.ndarray:
+    """In how many texts each feature is."""
+    out = np.zeros(1 << BITS, dtype=np.int64)
+    for k, _ in vectors:
+        out[k] += 1
+    return out
 
-    def __init__(self, vectors: list[Vector], place: np.ndarray):
-        parts = [(np.flatnonzero(place[k] >= 0), k, v) for k, v in vectors]
-        self.n = len(vectors)
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s, _, _ in parts])
-        self.col = np.concatenate([place[k[s]] for s, k, _ in parts])
-        self.val = np.concatenate([v[s] for s, _, v in parts])
 
-    def scale(self, by: np.ndarray) -> None:
-        self.val = (self.val * by[self.col]).astype(np.float32)
+class _Rows:
+    """Sparse rows over the features that ``place`` numbers, each scaled by ``by``; a dot product and its transpose."""
 
-    def only(self, used: np.ndarray) -> None:
-        """Drop the features that are not used, and number the others anew."""
-        ok = used[self.col]
-        self.row, self.val = self.row[ok], self.val[ok]
-        self.col = (np.cumsum(used) - 1).astype(np.int32)[self.col[ok]]
+    def __init__(self, vectors: list[Vector], place: np.ndarray, by: np.ndarray):
+        self.n = len(vectors)
+        cols, vals = [], []
+        for k, v in vectors:
+            col = place[k]
+            ok = col >= 0
+            cols.append(col[ok])
+            vals.append((v[ok] * by[cols[-1]]).astype(np.float32))
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(c) for c in cols])
+        self.col, self.val = np.concatenate(cols), np.concatenate(vals)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.val * w[self.col], minlength=self.n)
@@ -125,24 +125,20 @@ def train(p_vec: list[Vector], u_vec: list[Vector], prior: float, steps: int = 2
     prior = min(max(prior, 1e-4), 0.9)
     weights = np.zeros(1 << BITS)
     bias = float(np.log(prior / (1 - prior)))
-    found = np.flatnonzero(telling(p_vec))
-    if not len(p_vec) or not len(u_vec) or not len(found):
+    if not len(p_vec) or not len(u_vec):
         return weights, bias
-    place = np.full(1 << BITS, -1, np.int32)
-    place[found] = np.arange(len(found))
-    P, U = _Rows(p_vec, place), _Rows(u_vec, place)
-    width = len(found)
     # a feature counts as far as its share among toxic texts surely exceeds, or falls below, that among all
-    p_df = np.bincount(P.col, minlength=width) + 0.5
-    u_df = np.bincount(U.col, minlength=width) + 0.5
-    ratio = np.log(p_df / (P.n + 1)) - np.log(u_df / (U.n + 1))
+    found = np.flatnonzero(telling(p_vec))
+    p_df, u_df = _document_counts(p_vec)[found] + 0.5, _document_counts(u_vec)[found] + 0.5
+    ratio = np.log(p_df / (len(p_vec) + 1)) - np.log(u_df / (len(u_vec) + 1))
     by = np.sign(ratio) * np.maximum(0, np.abs(ratio) - sure * np.sqrt(1 / p_df + 1 / u_df))
-    P.scale(by)
-    U.scale(by)
-    used = by != 0
-    P.only(used)
-    U.only(used)
-    found, by, width = found[used], by[used], int(used.sum())
+    found, by = found[by != 0], by[by != 0]
+    if not len(found):
+        return weights, bias
+    width = len(found)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[found] = np.arange(width)
+    P, U = _Rows(p_vec, place, by), _Rows(u_vec, place, by)
     w, b = np.zeros(width), bias
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -258,7 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: i
     p = labelled(1, positives)
     marks = telling(p)
     u = _collected(_sample(texts.where(~held_out(F.col("doc_id"))), unlabelled, 2), marks)
-    return train_calibrated(p, u, labelled(0, negatives, marks), (toxic or 0) / n if n else 0.01)
+    model = train_calibrated(p, u, labelled(0, negatives, marks), (toxic or 0) / n if n else 0.01)
+    del p, u, marks
+    trim()  # of the driver
+    return model
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
