@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import claim, cut_lineage, kept, small
 
 BITS = 128
+#: Found fingerprints go to every task up to so many (about 100 bytes each), and meet in a sorted join beyond.
+BROADCAST_ROWS = 500_000
 CACHE_ENTRIES = 400_000
 _words: dict[str, int] = kept("simhash")
 
@@ -189,5 +191,7 @@ def simhash(docs: DataFrame, radius: int = 3, one_in: int = 50) -> DataFrame:
     """``fingerprints``, and for every ``one_in``-th id ``n_near``: how many rows lie within ``radius`` bits of it."""
     rows = cut_lineage(fingerprints(docs))
     asked = F.coalesce(F.col("doc_id") % one_in == 0, F.lit(False))
-    near = near_counts(rows, asked, radius).withColumn("asked", F.lit(True))
-    return rows.withColumn("asked", asked).join(near, ["fingerprint", "asked"], "left").select(*[c.split()[0] for c in SCHEMA.split(", ")], "n_near")
+    near = cut_lineage(near_counts(rows, asked, radius).withColumn("asked", F.lit(True)))
+    few = near.count() <= BROADCAST_ROWS
+    found = rows.withColumn("asked", asked).join(F.broadcast(near) if few else near, ["fingerprint", "asked"], "left")
+    return found.select(*[c.split()[0] for c in SCHEMA.split(", ")], "n_near")

@@ -220,3 +220,15 @@ def test_recall_on_the_test_table(spark):
     got = {r.vec_id: r.n_links for r in multiindex.linked_vectors(every).collect()}
     true = sum(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98 for (i, v, _), (_, w, _) in zip(rows[:200], more))
     assert sum(got[10_000 + i] for i, _, _ in rows[:200]) >= 0.98 * true > 50
+
+
+def test_search_and_joins_of_many_rows(docs, monkeypatch):
+    """What is broadcast while few rows are found gives the same beyond that."""
+    search = sorted(map(tuple, simhash.simhash(docs, one_in=2).collect()), key=repr)
+    near = sorted(map(tuple, minhash.near_duplicates(docs, size=4).collect()), key=repr)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", -1)
+    assert sorted(map(tuple, simhash.simhash(docs, one_in=2).collect()), key=repr) == search
+    assert sorted(map(tuple, minhash.near_duplicates(docs, size=4).collect()), key=repr) == near
+    asked = [r for r in search if r[0] is not None and r[0] % 2 == 0]
+    assert all(r[7] >= 1 for r in asked) and all(r[7] is None for r in search if r not in asked)
