@@ -12,8 +12,12 @@ it came from:
    and ".".
 
 The same detectors then run on the rewritten text, and what they find is mapped
-back through the spans. Finds that equal a plain one are not repeated. Texts
-without any trigger are not rewritten, as the transducers would not change them.
+back through the spans. Finds that equal a plain one are not repeated. Every text
+goes through all transducers; one that replaces nothing costs its scan alone.
+
+A bare "x at host.tld" is also plain prose ("look at example.com"). It counts as
+an address only where x is no mere word: it has a letter, and a digit or one of
+"._+%" too.
 
 All detectors take linear time: no pattern is tried again over the same run of
 characters, however long.
@@ -24,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -106,32 +111,55 @@ def detect(text: str) -> list[Span]:
 
 
 class Tape:
-    """A rewritten text and, for each of its characters, the source characters it stands for."""
+    """A rewritten text that can tell, for each of its characters, the source characters it stands for.
+
+    Only the replacements are held, each with its place and length here and its
+    span in the tape below; places are looked up when something is found.
+    """
 
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None):
-        self.text = text
-        self.start = list(range(len(text))) if start is None else start
-        self.end = list(range(1, len(text) + 1)) if end is None else end
+    def __init__(self, text: str, below: Tape | None = None, at: list[int] | None = None, size: list[int] | None = None, span: list[tuple[int, int]] | None = None):
+        self.text, self.below = text, below
+        self.at, self.size, self.span = at or [], size or [], span or []
 
     def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str | None]) -> Tape:
         """Replace matches; a replacement spans all that it replaces. None leaves a match as it is."""
         out: list[str] = []
-        start: list[int] = []
-        end: list[int] = []
-        done = 0
+        at: list[int] = []
+        size: list[int] = []
+        span: list[tuple[int, int]] = []
+        done = length = 0
         for m in pattern.finditer(self.text):
             new = to(m)
             if new is None:
                 continue
             a, b = m.span()
             out += [self.text[done:a], new]
-            start += self.start[done:a] + [self.start[a]] * len(new)
-            end += self.end[done:a] + [self.end[b - 1]] * len(new)
+            length += a - done
+            at.append(length)
+            size.append(len(new))
+            span.append((a, b))
+            length += len(new)
             done = b
-        if not done:
+        if not span:
             return self
         out.append(self.text[done:])
-        return Tape("".join(out), start + self.start[done:], end + self.end[done:])
+        return Tape("".join(out), self, at, size, span)
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The source span of the characters from a up to b, b not included."""
+        tape = self
+        while tape.below is not None:
+            a, b = tape._under(a)[0], tape._under(b - 1)[1]
+            tape = tape.below
+        return a, b
+
+    def _under(self, k: int) -> tuple[int, int]:
+        """The span of one character in the tape below."""
+        i = bisect_right(self.at, k) - 1
+        if i < 0:
+            return k, k + 1
+        over = k - self.at[i] - self.size[i]
+        return self.span[i] if over < 0 else (self.span[i][1] + over, self.span[i][1] + over + 1)
 
 
 # Letters of other scripts that look like the Latin letters below them.
@@ -152,13 +180,12 @@ TIMES = {"double": 2, "triple": 3}
 
 _digit = "|".join(sorted(DIGITS, key=len, reverse=True))
 _item = rf"(?:(?:double|triple)[ -]+)?(?:{_digit}|[0-9]+)"
-SPELLED_HINT = re.compile(rf"(?i)\b(?:{_digit})(?:[ ,-]+(?:double[ -]+|triple[ -]+)?(?:{_digit}|[0-9]+)|[ ]*[\[({{<]?[ ]*(?:dot|punkt|point|punto)\b)")
 SPELLED = re.compile(rf"(?i)\b(?:(plus)[ -]+)?{_item}(?:[ ,-]+{_item})*\b")
+HIDDEN = re.compile(f"[{INVISIBLE}]+")
 WORD = re.compile(r"(?i)[^\W\d_]+|[0-9]+")
 ODD = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "٠-٩۰-۹०-९！-～‐-―․﹒﹫。]")
 AT = re.compile(r"(?i)(?<![ ])[ ]*[\[({<][ ]*(?:at|arroba|@)[ ]*[\])}>][ ]*|(?<=[a-z0-9])[ ]+(?:at|arroba)[ ]+(?=[a-z0-9-]+(?:[ ]*[\[({<][ ]*(?:dot|punkt|point|punto|\.)|[ ]+(?:dot|punkt|punto)[ ]|\.[a-z]))")
 DOT = re.compile(r"(?i)(?<![ ])[ ]*[\[({<][ ]*(?:dot|punkt|point|punto|\.)[ ]*[\])}>][ ]*|(?<=[a-z0-9])[ ]+(?:dot|punkt|punto)[ ]+(?=[a-z0-9])")
-DISGUISE_HINT = re.compile(r"(?i)[\[({<][ ]*(?:at|arroba|@|dot|punkt|point|punto|\.)[ ]*[\])}>]|[ ](?:dot|punkt|punto)[ ]")
 
 
 def _plain_char(m: re.Match) -> str | None:
@@ -189,32 +216,37 @@ def _plain_digits(m: re.Match) -> str | None:
     return "".join(out)
 
 
-def _drop_invisible(tape: Tape) -> Tape:
-    kept = [k for k, c in enumerate(tape.text) if c not in INVISIBLE]
-    return Tape("".join([tape.text[k] for k in kept]), [tape.start[k] for k in kept], [tape.end[k] for k in kept])
+def _at(m: re.Match) -> str | None:
+    """"@"; of the bare word before a plain host only where the word before it is no mere word."""
+    text, end = m.string, m.start()
+    if any(c in "[({<" for c in m[0]) or not HOST.match(text, m.end()):
+        return "@"
+    start = end
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    word = text[start:end]
+    return "@" if any(c.isalpha() for c in word) and any(c.isdigit() or c in "._+%" for c in word) else None
 
 
-def rewritten(text: str) -> Tape | None:
-    """The text with its disguises undone, or None if it has no trigger."""
-    odd = None if text.isascii() else ODD.search(text)
-    if not odd and not DISGUISE_HINT.search(text) and not SPELLED_HINT.search(text):
-        return None
+def rewritten(text: str) -> Tape:
+    """The text with its disguises undone."""
     tape = Tape(text)
-    if odd:
-        if any(c in text for c in INVISIBLE):
-            tape = _drop_invisible(tape)
-        tape = tape.rewrite(ODD, _plain_char)
+    if not text.isascii():
+        tape = tape.rewrite(HIDDEN, lambda m: "").rewrite(ODD, _plain_char)
     tape = tape.rewrite(SPELLED, _plain_digits)
-    return tape.rewrite(AT, lambda m: "@").rewrite(DOT, lambda m: ".")
+    return tape.rewrite(AT, _at).rewrite(DOT, lambda m: ".")
 
 
 def disguised(text: str, plain: list[Span]) -> list[Span]:
     """Spans of the source text that hold an identifier only after rewriting."""
     tape = rewritten(text)
-    if tape is None:
+    if tape.below is None:
         return []
     known = set(plain)
-    found = {(tape.start[a], kind, tape.end[b - 1]) for a, kind, b in detect(tape.text)}
+    found = set()
+    for a, kind, b in detect(tape.text):
+        start, end = tape.source(a, b)
+        found.add((start, kind, end))
     return sorted(found - known)
 
 

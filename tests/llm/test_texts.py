@@ -93,6 +93,28 @@ def test_disguises(text, want):
     assert pii.written(pii.disguised(text, base)) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("mail jane.doe at example.com now", "email:5:28"), ("call +1 743 555 382 four today", "phone:5:24"), ("card 4111 1111 1111 111 one", "card:5:27"),
+    ("plus one (743) 555-3824", "phone:0:23"), ("sign-up at example.com, 2.0 at example.com", ""), ("j2 at a-b.example.com", "email:0:21"),
+])
+def test_disguises_without_other_triggers(text, want):
+    assert pii.written(pii.disguised(text, pii.detect(text))) == want
+
+
+def test_disguises_do_not_depend_on_other_text():
+    """A look-alike in a line of its own changes no find."""
+    r = random.Random(4)
+    parts = ["jo.e", "b", " at ", "[at]", " dot ", "(dot)", "five", "one ", " two", "+1", "743 ", "555 382 ", "ｊ", "\u200b", ".com", "@", "-", " ", "plus ", "double ", "4111 1111 1111 111 "]
+    found = 0
+    for _ in range(20_000):
+        t = "".join(r.choices(parts, k=r.randint(0, 14)))
+        spans = pii.disguised(t, pii.detect(t))
+        assert pii.disguised(f"{t}\n\u2010", pii.detect(t)) == spans, t
+        assert all(0 <= a < b <= len(t) for a, _, b in spans), t
+        found += len(spans)
+    assert found > 1000
+
+
 def test_plain_texts_stay_plain():
     for t in ["", "nothing here", "é" * 100, "he is at one. two dots", "v1.2.3", "12:30"]:
         assert pii.disguised(t, pii.detect(t)) == []
