@@ -4,7 +4,8 @@ The tokenizer's pre-tokens never hold white space, so a text's count is the sum
 over its white-space-separated chunks. Tier one is a compact table of the
 corpus's most frequent chunks and their lengths in tokens: every task finds its
 own heavy hitters over all its rows, the small candidate lists are summed, and
-the best ``table_size`` are broadcast (bounded by that parameter). Tier two is a
+the best ``table_size`` are broadcast. That parameter and ``LONGEST`` bound its
+bytes; longer chunks, such as text without white space, are left to tier two, a
 cache in each Python worker; a chunk in neither is encoded by the library once
 and remembered. No chunk is shuffled on the counting path.
 
@@ -29,6 +30,8 @@ from .common import ODD_SPACES, claim, kept, small, strings, text_slices
 
 #: Entries of a worker's cache; it starts anew beyond that.
 CACHE_ENTRIES = 1_000_000
+#: Characters of a chunk in tier one.
+LONGEST = 64
 _loaded: dict[str, tuple] = kept("tokencount")
 _tables: dict[str, dict[str, int]] = kept("tokencount")
 
@@ -66,7 +69,7 @@ def tier_one(key: str, shared) -> _TwoTier:
     if key not in _tables:
         _tables.clear()
         joined, raw = shared.value
-        _tables[key] = _TwoTier(zip(joined.split("\n") if joined else [], np.frombuffer(raw, np.uint16).tolist()))
+        _tables[key] = _TwoTier(zip(joined.split("\n") if joined else [], np.frombuffer(raw, np.uint32).tolist()))
     return _tables[key]
 
 
@@ -104,7 +107,7 @@ def _heavy_hitters(keep: int, limit: int) -> Callable:
         counts: Counter[str] = Counter()
         for batch in small(batches):
             for part in text_slices(strings(batch.column(0))):
-                counts.update(" ".join(part).split())
+                counts.update([c for c in " ".join(part).split() if len(c) <= LONGEST])
             floor = 1
             while len(counts) > limit:  # forget the rarest; tier one only has to be good, not exact
                 counts = Counter({c: n for c, n in counts.items() if n > floor})
@@ -116,7 +119,7 @@ def _heavy_hitters(keep: int, limit: int) -> Callable:
 
 
 def frequent_chunks(docs: DataFrame, text: str, table_size: int, per_task: int = 2048) -> list[str]:
-    """The corpus's most frequent chunks, at most ``table_size`` (it bounds what the driver gets)."""
+    """The corpus's most frequent chunks of at most ``LONGEST`` characters, at most ``table_size`` (both bound what the driver gets)."""
     found = docs.select(text).mapInArrow(_heavy_hitters(per_task, 60_000), "chunk string, n long")
     best = found.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(table_size)
     return [r.chunk for r in best.collect()]
@@ -129,7 +132,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     row. Other columns are ignored, whatever their names. An empty table gives no row.
     """
     hot = frequent_chunks(docs, text, table_size)
-    lengths = np.asarray(chunk_lengths(tokenizer, hot), dtype=np.uint16) if hot else np.zeros(0, np.uint16)
+    lengths = np.asarray(chunk_lengths(tokenizer, hot), dtype=np.uint32) if hot else np.zeros(0, np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(("\n".join(hot), lengths.tobytes()))
     key = hashlib.sha1("\n".join([tokenizer, *hot]).encode()).hexdigest()
 

@@ -39,6 +39,18 @@ def test_token_counts(docs, texts, empty):
     assert tokencount.token_counts(empty, path).count() == 0
 
 
+def test_unbroken_texts_with_the_default_table(spark):
+    """More tokens in one chunk than 16 bits hold; such chunks stay out of the broadcast table."""
+    path = tokenizer_path("word_bpe_49k.json")
+    rows = [(1, "a" * 1_000_000), (2, "a" * 1_000_000), (3, "中文字" * 9_000 + " short"), (4, "b" * tokencount.LONGEST)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tok = tokencount._library(path)[0]
+    want = {i: len(tok.encode(t, add_special_tokens=False)) for i, t in rows}
+    assert max(want.values()) > 65_535
+    assert {r.doc_id: r.n_tokens for r in tokencount.token_counts(df, path).collect()} == want
+    assert set(tokencount.frequent_chunks(df, "text", 16_384)) == {"short", "b" * tokencount.LONGEST}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(odd, max_size=4))
 def test_pieces_equal_the_library(texts):
