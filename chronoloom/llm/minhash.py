@@ -295,11 +295,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those that ``near_duplicates`` does not keep; of equal rows with one id, all stay or go.
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, spare_nameless: bool = True) -> DataFrame:
+    """One row of each group of rows that ``near_duplicates`` would link if each had an id of its own.
 
-    Rows without id stay. Texts are not shuffled while the ids that go are few.
+    The row of the least id stays, and any one of those that share it; a row
+    without id only where none has one. With ``spare_nameless`` all rows without
+    id stay. Rows without words all stay. ``docs`` is written once, with a key for
+    each row; texts are not shuffled while the rows that go are few.
     """
-    gone = cut_lineage(near_duplicates(docs.select("doc_id", "text"), size, percent).where("not kept and doc_id is not null").select("doc_id").distinct())
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    keyed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))  # kept, as another run could number rows otherwise
+    found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), size, percent)
+    placed = cut_lineage(keyed.select(row, "doc_id").join(found.select(F.col("doc_id").alias(row), "component_id"), row))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row)).alias("best")
+    groups = placed.groupBy("component_id").agg(best, F.count(F.lit(1)).alias("members")).where("members > 1")
+    gone = placed.join(groups.select("component_id", F.col(f"best.{row}").alias("stays")), "component_id").where(F.col(row) != F.col("stays"))
+    if spare_nameless:
+        gone = gone.where("doc_id is not null")
+    gone = cut_lineage(gone.select(row))
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    return keyed.join(F.broadcast(gone) if few else gone, row, "left_anti").select(docs.columns)

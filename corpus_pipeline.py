@@ -40,13 +40,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares word shingles of five words to 0.8 or more, the one of least id.
+    """One row of each group that shares word shingles of five words to 0.8 or more, one of least id.
 
-    Documents without words (null, empty, white space) and rows without id all
-    stay. Rows that repeat the id that stays, stay with it. Other columns pass as
-    they are; an empty table stays empty.
+    Every row counts by itself, also one that repeats another's id or has none.
+    Documents without words (null, empty, white space) all stay. Other columns
+    pass as they are; an empty table stays empty.
     """
-    return without_near_duplicates(docs, size=5, percent=80)
+    return without_near_duplicates(docs, size=5, percent=80, spare_nameless=False)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

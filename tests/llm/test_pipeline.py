@@ -56,6 +56,23 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert {x.doc_id for x in pieces.collect()} == set(kept[3])
 
 
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Repeated rows, rows that share an id, and rows without id: no copy reaches ``repeats``, which would empty them all."""
+    r = random.Random(6)
+    a, b, c, d, e = (words(r, 80, 10**6) for _ in range(5))
+    rows = [(1, a), (1, a), (1, a + " more"), (2, b), (2, c), (3, c), (None, b), (None, d), (None, d), (None, None), (None, ""), (4, None), (5, e)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, __row long").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
+    got = sorted(((x.doc_id, x.text) for x in out.collect()), key=repr)
+    assert out.columns == df.columns
+    first = [t for i, t in got if i == 1]
+    assert len(first) == 1 and first[0] in (a, a + " more")
+    assert sorted((x for x in got if x[0] != 1), key=repr) == sorted([(2, b), (2, c), (None, d), (None, None), (None, ""), (4, None), (5, e)], key=repr)
+    texts = {x.text for x in corpus_pipeline.repeats(spark, out, str(tmp_path)).collect()}
+    assert {b, c, d, e} <= texts and texts & {a, a + " more"}
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert out.columns[0] == "doc_id" and out.count() > 0 and corpus_pipeline.ORACLE_SQL is None
