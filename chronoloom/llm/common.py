@@ -84,6 +84,14 @@ def strings(column) -> list[str]:
     return [t if t is not None else "" for t in column.to_pylist()]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; one of this machine only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -13,9 +13,13 @@ over the old ones. A string is repeated when its suffix has a neighbour with a
 common prefix of at least ``width``. Groups are packed in collections of bounded
 size; each is read, as sorted runs, from the shuffle's sequential files.
 
-Anchors that occur very often would make groups that no task should hold. The
-strings of their fragments are counted by a digest instead, pre-aggregated in
-each task, so that no key gathers more than one row per task.
+A group holds each distinct fragment once, however often that occurs. Where a
+group would still be too large for one task (an anchor amid a passage that very
+many contexts surround), its fragments are cut in pieces, whose strings stand at
+neighbouring distances from the anchor and so share more bytes than the anchor.
+Pieces meet again by all the bytes that they share. Most then are alike, and are
+one, or alone, and are none. What is still large is cut once more, at last in
+single strings, so every group that is built is small.
 """
 
 from __future__ import annotations
@@ -29,18 +33,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, cut_lineage, small
+from .common import claim, cut_lineage, free, small
 from .fragments import GRAM, fragments
 
-#: Fragments that are built together; a group is never cut.
+#: Fragments that are built together, beside what the last group has more.
 COLLECTION = 16_384
+#: Most distinct fragments of a group; a larger one is cut in pieces.
+GROUP = 8_192
+#: Distances from the anchor that a piece spans, for each time that a group is cut.
+PIECES = (24, 4, 1)
 #: Bytes that are cut in fragments at once, and of one text.
 SLICE = 1 << 20
-#: Anchors that occur more often have groups too large for one task; their strings are counted one by one.
-HOT = 200_000
-#: Most bits of the broadcast table of repeated anchors: 32 MB.
+#: Most bits of each broadcast table of anchors: 32 MB.
 MOST_BITS = 28
-_PAIRS = pa.list_(pa.int32())
 
 
 def intervals(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +145,8 @@ def _anchor_counts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("repeats")
         for batch in small(batches):
-            copied = batch.column(2).to_pylist()
-            for data, ends, names, _ in slices(list(range(batch.num_rows)), _bytes(batch.column(1)), width):
+            copied = batch.column("copied").to_pylist()
+            for data, ends, names, _ in slices(list(range(batch.num_rows)), _bytes(batch.column("text")), width):
                 h, first, _, _ = fragments(data, ends, width)
                 if len(h):
                     twice = np.asarray([1 + copied[k] for k in names])[np.searchsorted(ends, first, side="right")]
@@ -164,36 +169,37 @@ def _bitmap(bits: int):
     return run
 
 
-def repeated_anchors(docs: DataFrame, width: int) -> tuple[int, bytes, list[int]]:
-    """A table of bits, one set for each anchor hash that occurs more than once (others may share them), and the hot anchors."""
-    counts = docs.mapInArrow(_anchor_counts(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = cut_lineage(counts)
-    bits = min(MOST_BITS, max(16, (16 * counts.count()).bit_length()))
+def _table_of(hashes: DataFrame, bits: int) -> bytes:
+    """A bit for each value of the low bits of a hash, set where ``h`` has it: 2**MOST_BITS bits at most."""
     chunk = F.shiftright(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), 19)
-    hot = sorted(r.h for r in counts.where(F.col("n") > HOT).select("h").collect())  # no more than a share of 1 / HOT of all
-    rows = counts.select("h").withColumn("chunk", chunk).groupBy("chunk").applyInArrow(_bitmap(bits), "chunk long, bitmap binary").collect()  # 2**MOST_BITS bits at most
     out = bytearray(max(1, (1 << bits) >> 3))
-    for r in rows:
+    for r in hashes.select("h", chunk.alias("chunk")).groupBy("chunk").applyInArrow(_bitmap(bits), "chunk long, bitmap binary").collect():
         at = r.chunk << 16
         out[at : at + len(r.bitmap)] = r.bitmap
-    return bits, bytes(out), hot
+    return bytes(out)
 
 
-def _kept(h: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
-    at = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+def anchor_tables(docs: DataFrame, width: int) -> tuple[int, bytes, bytes]:
+    """Tables of bits with one set for each anchor hash that occurs more than once, and for each that occurs more than GROUP times.
 
+    Other hashes may share a bit; what the tables say depends on the hash alone, so places of one anchor go one way.
+    """
+    counts = cut_lineage(docs.mapInArrow(_anchor_counts(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    bits = min(MOST_BITS, max(16, (16 * counts.count()).bit_length()))
+    return bits, _table_of(counts, bits), _table_of(counts.where(F.col("n") > GROUP), bits)
 
-def _fragments_of(batch: pa.RecordBatch, width: int, shared, hot: bool = False) -> Iterator[tuple]:
-    """Fragments that may hold repeated strings: ids, hash, start in the text, start of the anchor, content, all as columns.
 
-    Either those of hot anchors alone, or all others.
-    """
-    bits, raw, often = shared.value
-    table, often = np.frombuffer(raw, np.uint8), np.asarray(often, np.int64)
-    for data, ends, names, base in slices(list(range(batch.num_rows)), _bytes(batch.column(1)), width):
+def _in(h: np.ndarray, bits: int, table: bytes) -> np.ndarray:
+    at = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (np.frombuffer(table, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _fragments_of(batch: pa.RecordBatch, width: int, shared) -> Iterator[tuple]:
+    """Fragments that may hold repeated strings: number of the row, hash, start in the text, start of the anchor, content, all as columns."""
+    bits, repeated, _ = shared.value
+    for data, ends, names, base in slices(list(range(batch.num_rows)), _bytes(batch.column("text")), width):
         h, first, size, anchor = fragments(data, ends, width)
-        ok = np.flatnonzero(_kept(h, bits, table) & (np.isin(h.view(np.int64), often) == hot)) if len(h) else []
+        ok = np.flatnonzero(_in(h, bits, repeated))
         if len(ok):
             h, first, size, anchor = h[ok], first[ok], size[ok], anchor[ok]
             piece = np.searchsorted(ends, first, side="right")
@@ -204,69 +210,77 @@ def _fragments_of(batch: pa.RecordBatch, width: int, shared, hot: bool = False)
             yield rows, h.view(np.int64), starts, anchor - first, content
 
 
-def _digest(content: list[bytes]) -> tuple[list[int], list[int]]:
-    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(c) for c in content]), ">i8")
-    return raw[::2].tolist(), raw[1::2].tolist()
+def _digest(content: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(c) for c in content]), ">i8").astype(np.int64)
+    return pa.array(raw[::2]), pa.array(raw[1::2])
+
+
+#: Distinct fragments: group, digest, where the anchor starts, whether it occurs more than once, bytes.
+_CONTENTS = "g long, c1 long, c2 long, anchor int, many boolean, content binary"
 
 
 def _contents(width: int, shared):
-    """Distinct fragments of each slice, with whether they occur more than once in it."""
+    """Distinct fragments of each slice, with whether they occur more than once in it, and whether their anchors occur often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("repeats")
         for batch in small(batches):
-            copied = batch.column(2).to_pylist()
+            copied = batch.column("copied").to_pylist()
             for rows, h, _, anchor, content in _fragments_of(batch, width, shared):
                 seen: dict[tuple[int, bytes], list] = {}
                 for row, k, a, c in zip(rows.tolist(), h.tolist(), anchor.tolist(), content):
-                    known = seen.get((k, c))
-                    if known:
+                    if known := seen.get((k, c)):
                         known[2] = True
                     else:
                         seen[(k, c)] = [k, a, copied[row], c]
-                k, a, many, c = zip(*seen.values())
-                one, two = _digest(list(c))
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(a, pa.int32()), pa.array(many, pa.bool_()), pa.array(c, pa.binary())], names=["h", "c1", "c2", "anchor", "many", "content"])
+                g, anchor, many, content = zip(*seen.values())
+                big = _in(np.asarray(g).view(np.uint64), shared.value[0], shared.value[2])
+                arrays = [pa.array(g, pa.int64()), *_digest(list(content)), pa.array(anchor, pa.int32()), pa.array(many, pa.bool_()), pa.array(content, pa.binary()), pa.array(big)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["g", "c1", "c2", "anchor", "many", "content", "big"])
 
     return run
 
 
-def _references(width: int, shared):
-    """Where fragments stand: digest, document, start."""
+def _places(width: int, shared):
+    """Where fragments stand: digest, row, starts; one row for each text, slice and distinct fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("repeats")
         for batch in small(batches):
-            ids = np.asarray(batch.column(0).to_pylist(), np.int64)
+            keys = [batch.column(c).to_numpy() for c in ("r1", "r2")]
             for rows, _, starts, _, content in _fragments_of(batch, width, shared):
-                one, two = _digest(content)
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(ids[rows]), pa.array(starts.astype(np.int64))], names=["c1", "c2", "__row", "start"])
+                seen: dict[tuple[int, bytes], list[int]] = {}
+                for row, start, c in zip(rows.tolist(), starts.tolist(), content):
+                    seen.setdefault((row, c), []).append(start)
+                row = np.asarray([k for k, _ in seen])
+                arrays = [*_digest([c for _, c in seen]), *[pa.array(k[row]) for k in keys], pa.array(seen.values(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["c1", "c2", "r1", "r2", "starts"])
 
     return run
 
 
-def _hot_strings(width: int, shared, places: bool):
-    """Strings of fragments with hot anchors, by digest: their numbers in a slice, or where they stand."""
+def _pieces(width: int, span: int):
+    """Fragments (digest, group, anchor, many, content) in pieces whose strings start ``span`` neighbouring distances from the anchor.
+
+    A piece's group is the hash of the bytes that all strings at those distances
+    share, so equal strings stay in one group. ``lo`` is where it starts in the fragment.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("repeats")
         for batch in small(batches):
-            ids, last = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for rows, _, starts, _, content in _fragments_of(batch, width, shared, hot=True):
-                strings, who, at = [], [], []
-                for row, start, c in zip(rows.tolist(), starts.tolist(), content):
-                    n = len(c) - width + 1
-                    strings += [c[k : k + width] for k in range(n)]
-                    who += [row] * n
-                    at += range(start, start + n)
-                one, two = _digest(strings)
-                if places:
-                    yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([ids[k] for k in who], pa.int64()), pa.array(at, pa.int64())], names=["c1", "c2", "__row", "start"])
-                else:
-                    count: dict[tuple[int, int], int] = {}
-                    for key, row in zip(zip(one, two), who):
-                        count[key] = count.get(key, 0) + 1 + last[row]
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.int64()), pa.array([k[1] for k in count], pa.int64()), pa.array(count.values(), pa.int64())], names=["c1", "c2", "n"])
+            out = []
+            for g, c1, c2, anchor, many, content in zip(*[batch.column(c).to_pylist() for c in ("g", "c1", "c2", "anchor", "many", "content")]):
+                last = len(content) - width  # a string that starts at k stands anchor - k before the anchor
+                for cell in range((anchor - last) // span, anchor // span + 1):
+                    a, b = max(0, anchor - cell * span - span + 1), min(last, anchor - cell * span)
+                    core = content[anchor - cell * span : anchor - cell * span - span + 1 + width]
+                    own = xxhash.xxh3_64_intdigest(core, seed=(g ^ cell) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                    out.append((c1, c2, a, own, anchor - a, many, content[a : b + width]))
+            if out:
+                c1, c2, lo, own, anchor, many, content = zip(*out)
+                arrays = [pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(lo, pa.int32()), pa.array(own, pa.int64()), *_digest(list(content)), pa.array(anchor, pa.int32()), pa.array(many, pa.bool_()), pa.array(content, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["p1", "p2", "lo", "g", "c1", "c2", "anchor", "many", "content"])
 
     return run
 
@@ -304,13 +318,30 @@ def _construct(width: int):
 
 def merged(pairs: list[list[int]]) -> list[tuple[int, int]]:
     """Flat lists of (start, end) as disjoint spans that do not touch."""
-    out: list[list[int]] = []
-    for a, b in sorted((p[k], p[k + 1]) for p in pairs for k in range(0, len(p), 2)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    flat = np.concatenate([np.asarray(p, np.int64) for p in pairs]).reshape(-1, 2) if pairs else np.zeros((0, 2), np.int64)
+    return list(map(tuple, _joined(flat[:, 0], flat[:, 1]).tolist()))
+
+
+def _joined(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Spans as rows (start, end) in order, those that meet or overlap as one."""
+    if not len(first):
+        return np.zeros((0, 2), np.int64)
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    fresh = np.flatnonzero(np.append(True, first[1:] > reach[:-1]))
+    return np.stack([first[fresh], reach[np.append(fresh[1:], len(first)) - 1]], axis=1)
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, the starts of a fragment in them and its runs: the spans that these cover."""
+    claim("repeats")
+    for batch in small(batches):
+        out = []
+        for starts, runs in zip(batch.column("starts").to_pylist(), batch.column("runs").to_pylist()):
+            at = np.asarray(starts, np.int64)[:, None]
+            pairs = np.asarray(runs, np.int64).reshape(-1, 2)
+            out.append(_joined((at + pairs[:, 0]).ravel(), (at + pairs[:, 1]).ravel()).ravel())
+        yield pa.RecordBatch.from_arrays([batch.column("r1"), batch.column("r2"), pa.array(out, pa.list_(pa.int64()))], names=["r1", "r2", "spans"])
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -322,63 +353,94 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-#: Columns beside those of the documents, which may have any names.
-ROW, SPANS, CUT = "__row", "__spans", "__cut"
 #: Ids or spans go to every task up to so many rows (at most about 100 bytes each), and meet in a sorted join beyond.
-BROADCAST_ROWS = 2_000_000
-
-
-def _marked(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the column ``name`` of ``rows``, which has a row a key at most; texts are not shuffled for few rows."""
-    few = rows.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(rows) if few else rows, ROW, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-
-def repeated_spans(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a key, and by that key spans: flat pairs (start, end) of bytes that repeated strings cover.
+BROADCAST_ROWS = 500_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Stored rows, sent to every task where they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _built(contents: DataFrame, width: int) -> DataFrame:
+    """Runs of repeated strings' starts in distinct fragments; a group is in one task."""
+    parts = max(1, int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return contents.repartition(parts, "g").sortWithinPartitions("g", "c1", "c2").mapInArrow(_construct(width), "c1 long, c2 long, runs array<int>")
+
+
+def _runs(texts: DataFrame, width: int, shared) -> DataFrame:
+    """``c1, c2, runs``: the distinct fragments that hold repeated strings, and where these start and end."""
+    own = texts.mapInArrow(_contents(width, shared), f"{_CONTENTS}, big boolean")
+    if not any(shared.value[2]):
+        return _built(own.drop("big"), width)
+    own = cut_lineage(own)
+    own, found = own.where("not big").drop("big"), own.where("big").drop("big")
+    levels = []  # (fragments to build, those that were cut to make them, how long the pieces are)
+    above, span = None, None
+    for finer in (*PIECES, None):
+        whole = F.any_value  # rows of a group and digest are alike but for ``many``
+        found = cut_lineage(found.groupBy("g", "c1", "c2").agg(whole("anchor").alias("anchor"), (F.max("many") | (F.count(F.lit(1)) > 1)).alias("many"), whole("content").alias("content")))
+        large = cut_lineage(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("g"))
+        if finer is None or large.isEmpty():
+            levels.append((found, above, span))
+            break
+        large = _few(large)
+        levels.append((found.join(large, "g", "left_anti"), above, span))
+        above, span = cut_lineage(found.join(large, "g", "left_semi")), finer
+        found = above.mapInArrow(_pieces(width, span), f"p1 long, p2 long, lo int, {_CONTENTS}").drop("p1", "p2", "lo")
+    runs = None
+    for contents, cut, span in reversed(levels):
+        if cut is None:
+            contents = own.unionByName(contents)
+        built = _built(contents, width)
+        runs = built if runs is None else built.unionByName(runs)
+        if cut is not None:
+            pieces = cut.mapInArrow(_pieces(width, span), f"p1 long, p2 long, lo int, {_CONTENTS}").select("p1", "p2", "lo", "c1", "c2")
+            lifted = pieces.join(runs, ["c1", "c2"]).groupBy(F.col("p1").alias("c1"), F.col("p2").alias("c2"))
+            runs = lifted.agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("lo")))).alias("runs"))
+    return runs
+
+
+def repeated_spans(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFrame, list[str], str]:
+    """``docs`` with a key of two columns, and by that key spans: flat pairs (start, end) of bytes that repeated strings cover.
+
+    The names of the key's columns and of the spans' column, all free in ``docs``, come third and last.
 
     A string of ``width`` bytes is repeated when it also starts anywhere else in
     the corpus, in the same document too. Matches never cross documents.
 
     A text that several rows have and that has ``width`` bytes is repeated as a
     whole. Its strings still count against other documents, from one of its rows.
-    Rows are told apart by id and text; rows equal in both are such copies.
+    Rows are told apart by 128 bits of id and text; rows equal in both are such copies.
     """
-    sc = docs.sparkSession.sparkContext
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn(ROW, F.xxhash64("doc_id", text))
-    digest = keyed.select(ROW, F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), F.octet_length(text).alias("size")).where(F.col("size") >= width)
-    same = digest.groupBy("t1", "t2", "size").agg(F.min(ROW).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = cut_lineage(digest.join(same, ["t1", "t2", "size"]).groupBy(ROW).agg((F.min("first") == F.col(ROW)).alias("lead"), F.min("size").alias("size")))
-    texts = keyed.where(F.octet_length("text") >= width).select(ROW, "text")
-    roles = copies.select(ROW, "lead", F.lit(True).alias("copied"))
-    few = roles.count() <= BROADCAST_ROWS
-    texts = texts.join(F.broadcast(roles) if few else roles, ROW, "left").where(F.coalesce("lead", F.lit(True))).select(ROW, "text", F.coalesce("copied", F.lit(False)).alias("copied"))
+    k1, k2, held = free(docs, "row1"), free(docs, "row2"), free(docs, "spans")
+    keyed = docs.withColumns({k1: F.xxhash64("doc_id", text), k2: F.xxhash64(F.lit(1), "doc_id", text)})
+    key = [F.col(k1).alias("r1"), F.col(k2).alias("r2")]
+    long = keyed.where(F.octet_length("text") >= width)
+    digest = long.select(*key, F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.octet_length("text").alias("size"))
+    same = digest.groupBy("t1", "t2", "size").agg(F.min(F.struct("r1", "r2")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = digest.join(same, ["t1", "t2", "size"]).groupBy("r1", "r2").agg((F.min("first") == F.struct("r1", "r2")).alias("lead"), F.min("size").alias("size"))
+    copies = cut_lineage(copies)
+    roles = _few(copies.select("r1", "r2", "lead", F.lit(True).alias("copied")))
+    texts = long.select(*key, "text").join(roles, ["r1", "r2"], "left").where(F.coalesce("lead", F.lit(True))).select("r1", "r2", "text", F.coalesce("copied", F.lit(False)).alias("copied"))
     # rows equal in id and text would stand here more than once; that changes no result, as all of them is repeated anyway
-    anchors = repeated_anchors(texts, width)
-    shared = sc.broadcast(anchors)  # 2**MOST_BITS bits at most
-
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    contents = texts.mapInArrow(_contents(width, shared), "h long, c1 long, c2 long, anchor int, many boolean, content binary")
-    sorted_runs = contents.repartition(parts, "h").sortWithinPartitions("h", "c1", "c2")
-    runs = sorted_runs.mapInArrow(_construct(width), "c1 long, c2 long, runs array<int>")
-    places = texts.where("not copied").mapInArrow(_references(width, shared), f"c1 long, c2 long, {ROW} long, start long")
-    hits = places.join(runs, ["c1", "c2"]).select(ROW, F.transform("runs", lambda x: x + F.col("start")).alias("runs"))
-    if anchors[2]:
-        often = texts.mapInArrow(_hot_strings(width, shared, False), "c1 long, c2 long, n long").groupBy("c1", "c2").agg(F.sum("n").alias("n")).where("n > 1").select("c1", "c2")
-        stand = texts.where("not copied").mapInArrow(_hot_strings(width, shared, True), f"c1 long, c2 long, {ROW} long, start long")
-        hits = hits.unionByName(stand.join(often, ["c1", "c2"]).select(ROW, F.array("start", F.col("start") + width).alias("runs")))
-    found = hits.groupBy(ROW).agg(F.flatten(F.collect_list("runs")).alias(SPANS))
-    whole = copies.select(ROW, F.array(F.lit(0).cast("long"), F.col("size").cast("long")).alias(SPANS))
-    return keyed, cut_lineage(found.unionByName(whole))
-
-
-def _apply():
+    shared = docs.sparkSession.sparkContext.broadcast(anchor_tables(texts, width))  # 2 * 2**MOST_BITS bits at most
+
+    places = texts.where("not copied").mapInArrow(_places(width, shared), "c1 long, c2 long, r1 long, r2 long, starts array<long>")
+    hits = places.join(_runs(texts, width, shared), ["c1", "c2"]).select("r1", "r2", "starts", "runs").mapInArrow(_spans, "r1 long, r2 long, spans array<long>")
+    found = hits.groupBy("r1", "r2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = copies.select("r1", "r2", F.array(F.lit(0).cast("long"), F.col("size").cast("long")).alias("spans"))
+    spans = cut_lineage(found.unionByName(whole)).select(F.col("r1").alias(k1), F.col("r2").alias(k2), F.col("spans").alias(held))
+    return keyed, spans, [k1, k2], held
+
+
+def _apply(held: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("repeats")
         for batch in small(batches):
             size, removed, count, sha = [], [], [], []
-            for data, flat in zip(_bytes(batch.column("text")), batch.column(SPANS).to_pylist()):
+            for data, flat in zip(_bytes(batch.column("text")), batch.column(held).to_pylist()):
                 spans = merged([flat]) if flat else []
                 size.append(len(data))
                 removed.append(sum(b - a for a, b in spans))
@@ -389,35 +451,37 @@ def _apply():
     return run
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim("repeats")
-    for batch in small(batches):
-        k = batch.schema.get_field_index("text")
-        out = []
-        for text, flat in zip(batch.column(k).to_pylist(), batch.column(SPANS).to_pylist()):
-            if flat and text is not None:
-                data = text.encode("utf-8", "surrogatepass")
-                inner = []
-                for a, b in merged([flat]):  # a character that a span covers in part stays
-                    while a < b and data[a] & 0xC0 == 0x80:
-                        a += 1
-                    while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
-                        b -= 1
-                    inner.append((a, b))
-                text = without(data, inner).decode("utf-8", "replace")
-            out.append(text)
-        columns = list(batch.columns)
-        columns[k] = pa.array(out, pa.string())
-        kept = [j for j, n in enumerate(batch.schema.names) if n != SPANS]
-        yield pa.RecordBatch.from_arrays([columns[j] for j in kept], names=[batch.schema.names[j] for j in kept])
-
-
-def _split(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _cut_texts(held: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats")
+        for batch in small(batches):
+            k = batch.schema.get_field_index("text")
+            out = []
+            for text, flat in zip(batch.column(k).to_pylist(), batch.column(held).to_pylist()):
+                if flat and text is not None:
+                    data = text.encode("utf-8", "surrogatepass")
+                    inner = []
+                    for a, b in merged([flat]):  # a character that a span covers in part stays
+                        while a < b and data[a] & 0xC0 == 0x80:
+                            a += 1
+                        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+                            b -= 1
+                        inner.append((a, b))
+                    text = without(data, inner).decode("utf-8", "replace")
+                out.append(text)
+            columns = list(batch.columns)
+            columns[k] = pa.array(out, pa.string())
+            kept = [j for j, n in enumerate(batch.schema.names) if n != held]
+            yield pa.RecordBatch.from_arrays([columns[j] for j in kept], names=[batch.schema.names[j] for j in kept])
+
+    return run
+
+
+def _split(docs: DataFrame, spans: DataFrame, key: list[str], held: str) -> tuple[DataFrame, DataFrame]:
     """Rows with spans, which move to meet them, and rows without, which stay where they are."""
-    ids = spans.select(ROW, F.lit(True).alias(CUT))
-    marked = _marked(docs, ids, CUT)
-    plain = marked.where(~F.col(CUT)).drop(CUT).withColumn(SPANS, F.lit(None).cast("array<long>"))
-    return marked.where(F.col(CUT)).drop(CUT).join(spans, ROW), plain
+    ids = _few(spans.select(key))
+    plain = docs.join(ids, key, "left_anti").withColumn(held, F.lit(None).cast("array<long>"))
+    return docs.join(ids, key, "left_semi").join(spans, key), plain
 
 
 def repeat_digests(docs: DataFrame, width: int = 200) -> DataFrame:
@@ -427,20 +491,20 @@ def repeat_digests(docs: DataFrame, width: int = 200) -> DataFrame:
     ``width`` lose nothing. Repeated rows are documents of their own, so they lose
     all. Only ``doc_id`` and ``text`` are read. An empty table gives no row.
     """
-    keyed, spans = repeated_spans(docs.select("doc_id", "text"), width)
+    keyed, spans, key, held = repeated_spans(docs.select("doc_id", "text"), width)
     kind = keyed.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    cut, plain = _split(keyed, spans)
-    one, two = (df.select("doc_id", "text", SPANS).mapInArrow(_apply(), schema) for df in (cut, plain))
+    cut, plain = _split(keyed, spans, key, held)
+    one, two = (df.select("doc_id", "text", held).mapInArrow(_apply(held), schema) for df in (cut, plain))
     return one.unionByName(two)
 
 
 def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
-    """``docs`` with every repeated string taken out of ``text``; other columns stay as they are.
+    """``docs`` with every repeated string taken out of ``text``; other columns stay as they are, whatever their names.
 
     All of a string's places lose it. A character that a span covers only in part is kept.
     """
     names = docs.columns
-    keyed, spans = repeated_spans(docs, width)
-    cut, plain = _split(keyed, spans)
-    return cut.select(*names, SPANS).mapInArrow(_cut_texts, docs.schema).unionByName(plain.select(*names))
+    keyed, spans, key, held = repeated_spans(docs, width)
+    cut, plain = _split(keyed, spans, key, held)
+    return cut.select(*names, held).mapInArrow(_cut_texts(held), docs.schema).unionByName(plain.select(*names))

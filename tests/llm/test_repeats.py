@@ -80,9 +80,10 @@ def test_digests(docs, texts, empty, spark):
     assert repeats.repeat_digests(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed, hot", [(0, 10**9), (1, 10**9), (2, 3), (3, 0)])
-def test_random_copies(spark, seed, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("seed, group", [(0, 8_192), (1, 8_192), (2, 3), (3, 0), (4, 1)])
+def test_random_copies(spark, seed, group, monkeypatch):
+    """Also where no group, or hardly one, is small enough to be built uncut."""
+    monkeypatch.setattr(repeats, "GROUP", group)
     r = random.Random(seed)
     pool = ["".join(r.choices("abcde é", k=r.randint(1, 400))) for _ in range(12)]
     texts = ["".join(r.choices(pool, k=r.randint(0, 5))) for _ in range(40)] + ["ab" * 300, "ba" * 150, "z" * 1000]
@@ -93,6 +94,24 @@ def test_random_copies(spark, seed, hot, monkeypatch):
     assert sorted(map(tuple, repeats.repeat_digests(df).collect())) == want
 
 
+def test_passage_in_many_contexts(spark, monkeypatch):
+    """Groups that only pieces of some lengths make small."""
+    monkeypatch.setattr(repeats, "GROUP", 4)
+    r = random.Random(9)
+    passage = "".join(r.choices("abcdefgh ", k=330))
+    texts = ["".join(r.choices("xyz", k=r.randint(0, 30))) + passage[r.randint(0, 3) : 330 - r.randint(0, 40)] + "".join(r.choices("uvw", k=r.randint(0, 30))) for _ in range(60)]
+    texts += ["line of words, twenty\n" * 50, "line of words, twenty\n" * 9 + "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = [(i, *digest(*x)) for i, x in enumerate(brute(texts, 200))]
+    assert sorted(map(tuple, repeats.repeat_digests(df).collect())) == want
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a" * 300, 5, "r", [7]), (2, None, 6, "s", None)], "doc_id long, text string, row1 int, Row2 string, spans array<int>")
+    out = repeats.without_repeats(df)
+    assert out.schema == df.schema and sorted(map(tuple, out.collect())) == [(1, "", 5, "r", [7]), (2, None, 6, "s", None)]
+
+
 def test_without_repeats(docs, texts, empty):
     out = repeats.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -105,6 +124,7 @@ def test_without_repeats(docs, texts, empty):
 
 def test_spans():
     assert repeats.merged([[5, 9, 0, 3], [3, 4], [8, 12]]) == [(0, 4), (5, 12)]
+    assert repeats.merged([[0, 9, 2, 3], [9, 10, 12, 13]]) == [(0, 10), (12, 13)] and repeats.merged([]) == []
     assert repeats.without(b"abcdef", [(0, 1), (3, 5)]) == b"bcf"
 
 
