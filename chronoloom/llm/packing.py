@@ -1,10 +1,11 @@
 """Order-preserving packing by dynamic programming.
 
 Documents keep their order. Their ids, each document closed by an end id, form
-one stream per task; the stream may be cut at document ends (free), at sentence
-ends, at word ends and, inside very long words, between ids, each at its own
-penalty in tokens. The program minimises padding plus penalties over all cuts
-with windows of at most ``length`` ids:
+one stream per task; the stream may be cut at document ends (free) and at sentence
+ends, at a penalty in tokens. Only where neither comes for over ``LONG`` ids, the
+stretch may be cut at word ends too, and where no word ends for so long, between
+ids, at higher penalties. The program minimises padding plus penalties over all
+cuts with windows of at most ``length`` ids:
 
     best[j] = min over i with pos[j] - pos[i] <= length of
               best[i] + length - (pos[j] - pos[i]) + penalty[j]
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import ODD_SPACES, claim, kept, small, strings
 
-#: Penalties in tokens of a cut at the end of a sentence, of a word, and between two ids of a long word.
-SENTENCE, WORD, INSIDE = 1, 2, 12
-#: Of the word ends in a run of so many ids, the program may choose the first.
-GRID = 4
+#: Penalties in tokens of a cut at the end of a document, of a sentence, of a word in a stretch without either, and between two ids of a long word.
+PENALTIES = {"document": 0, "sentence": 1, "word": 16, "inside": 32}
+#: A stretch of more ids without the end of a sentence or document may be cut at word ends, and one of more ids without any end every STEP ids.
+LONG, STEP = 48, 16
 _loaded: dict[str, tuple] = kept("packing")
 
 
@@ -87,27 +88,34 @@ def encode_documents(texts: list[str], path: str, end_id: int = 0) -> Iterator[n
         yield full
 
 
-def cuts_of(ids: np.ndarray, ends: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Where a stream of documents that end at ``ends`` may be cut, 0 included, and the penalties."""
+Cuts = tuple[np.ndarray, np.ndarray]  # rising positions from 0 on, and what a cut there costs
+
+
+def cuts_of(ids: np.ndarray, ends: np.ndarray, path: str, most: int = LONG) -> Cuts:
+    """Where a stream of documents that end at ``ends`` may be cut."""
     _, _, _, sentence, word = _library(path)
-    stops = sentence[ids]
-    kept = stops.copy()
-    kept[:-1] |= word[ids[1:]]
     closed = np.zeros(len(ids), dtype=bool)
     closed[ends - 1] = True
-    at = np.flatnonzero(kept | closed)
-    first = np.append(True, at[1:] // GRID != at[:-1] // GRID)
-    at = at[first | stops[at] | closed[at]]
-    return np.append(0, at + 1), np.append(0, np.where(closed[at], 0, np.where(stops[at], SENTENCE, WORD)))
+    at = np.flatnonzero(sentence[ids] | closed)
+    cuts = np.append(0, at + 1), np.append(0, np.where(closed[at], PENALTIES["document"], PENALTIES["sentence"]))
+    if cuts[0][-1] < len(ids):
+        cuts = np.append(cuts[0], len(ids)), np.append(cuts[1], PENALTIES["inside"])
+    return fill_gaps(*fill_gaps(*cuts, np.flatnonzero(word[ids[1:]]) + 1, PENALTIES["word"], most), None, PENALTIES["inside"], most)
 
 
-def fill_gaps(pos: np.ndarray, penalty: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts between ids wherever two neighbouring cuts are over ``most`` apart; ``pos`` starts with 0."""
-    wide = np.flatnonzero(np.diff(pos) > most)
-    if not len(wide):
+def fill_gaps(pos: np.ndarray, penalty: np.ndarray, more: np.ndarray | None, cost: int, most: int) -> Cuts:
+    """Cuts with those of ``more`` (None: one every STEP ids) that lie where neighbouring cuts are over ``most`` apart."""
+    wide = np.diff(pos) > most
+    if not wide.any():
         return pos, penalty
-    extra = np.concatenate([np.arange(pos[k] + most, pos[k + 1], most) for k in wide])
-    pos, penalty = np.append(pos, extra), np.append(penalty, np.full(len(extra), INSIDE))
+    if more is None:
+        step = min(STEP, most)
+        more = np.concatenate([np.arange(pos[k] + step, pos[k + 1], step) for k in np.flatnonzero(wide)])
+    gap = np.searchsorted(pos, more, side="right") - 1
+    ok = gap < len(wide)
+    more, gap = more[ok], gap[ok]
+    more = more[wide[gap] & (pos[gap] != more)]
+    pos, penalty = np.append(pos, more), np.append(penalty, np.full(len(more), cost))
     order = np.argsort(pos, kind="stable")
     return pos[order], penalty[order]
 
@@ -138,8 +146,10 @@ def choose_cuts(pos: list[int], penalty: list[int], length: int) -> tuple[list[i
 
 
 def windows(pos: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
-    """Ends of the whole windows of the cheapest packing; the rest, of at most ``length`` ids, stays open."""
-    pos, penalty = fill_gaps(pos, penalty, length // 4)
+    """Ends of the whole windows of the cheapest packing; the rest, of at most ``length`` ids, stays open.
+
+    Neighbouring cuts are at most ``length`` apart.
+    """
     at = pos.tolist()
     best, before = choose_cuts(at, penalty.tolist(), length)
     low = at[-1] - length
@@ -184,8 +194,10 @@ class Packer:
     def _pack(self, last: bool) -> Iterator[tuple]:
         stream = np.concatenate(self.ids)
         stops = np.cumsum([len(x) for x in self.ids])
-        pos, penalty = cuts_of(stream, stops, self.path)
+        pos, penalty = cuts_of(stream, stops, self.path, min(LONG, max(1, self.length // 4)))
         ends = windows(pos, penalty, self.length)
+        names = {cost: name for name, cost in PENALTIES.items()}
+        kinds = {end: names[c] for end, c in zip(ends, penalty[np.searchsorted(pos, ends)].tolist())}
         if last:
             ends += powers_of_two(ends[-1] if ends else 0, self.held)
         raw, upto = memoryview(stream.tobytes()), stops.tolist()
@@ -197,7 +209,8 @@ class Packer:
                     begin, d = upto[d], d + 1
                 doc_id, done, total = self.docs[d]
                 stop = min(end, upto[d])
-                yield doc_id, done + at - begin, stop - at, zlib.crc32(raw[4 * at : 4 * stop]), total, self.sequence, at - start
+                kind = "document" if stop == upto[d] else kinds.get(end, "tail")
+                yield doc_id, done + at - begin, stop - at, zlib.crc32(raw[4 * at : 4 * stop]), total, self.sequence, at - start, kind
                 at = stop
             self.sequence += 1
             start = end
@@ -211,7 +224,7 @@ class Packer:
         self.held -= start
 
 
-COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+COLUMNS = {"start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long", "ends_at": "string"}
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,7 +232,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, d
 
     A null or empty text is its end id alone. Repeated rows are packed each;
     other columns are ignored; an empty table gives no row. Sequence ids are
-    unique, not consecutive: the upper bits name the task.
+    unique, not consecutive: the upper bits name the task. ``ends_at`` tells where a
+    piece was cut: at the end of its document, of a sentence, of a word, inside a
+    word, or in the powers of two at a task's end (tail).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, d
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows))
-            out = pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["doc_id", *COLUMNS])
+            out = pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *[pa.array(c, pa.int64()) for c in columns[1:-1]], pa.array(columns[-1], pa.string())], names=["doc_id", *COLUMNS])
             rows.clear()
             return out
 
@@ -246,4 +261,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, d
             yield flush()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COLUMNS))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} {kind}" for c, kind in COLUMNS.items()))

@@ -138,10 +138,28 @@ def check_pieces(rows, texts, length):
     return sequences
 
 
+def test_cuts_are_at_ends_of_sentences():
+    """Word ends are offered only in stretches without another end, and ids inside words only where words are as long."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["Short one. And another! " * 30, "word " * 200, "ab" * 300 + ". End.", ""]
+    ids = list(packing.encode_documents(texts, path))
+    stream, stops = np.concatenate(ids), np.cumsum([len(x) for x in ids])
+    pos, penalty = packing.cuts_of(stream, stops, path)
+    cost = dict(zip(pos.tolist(), penalty.tolist()))
+    p = packing.PENALTIES
+    assert pos[0] == 0 and pos[-1] == len(stream) and (np.diff(pos) > 0).all() and np.diff(pos).max() <= packing.LONG
+    assert all(cost[e] == p["document"] for e in stops.tolist())
+    assert {cost[k] for k in cost if 0 < k < stops[0]} == {p["sentence"]}
+    assert {cost[k] for k in cost if stops[0] < k < stops[1]} == {p["word"]}
+    assert {cost[k] for k in cost if stops[1] < k < stops[2]} == {p["inside"], p["sentence"]}
+
+
 def test_pack(docs, texts, empty):
     path = tokenizer_path("byte_bpe_50k.json")
     rows = [tuple(r) for r in packing.pack(docs, path).collect()]
     check_pieces(rows, texts, 1024)
+    kinds = {"document", "sentence", "word", "inside", "tail"}
+    assert all(r[7] in kinds and (r[7] == "document") == (r[1] + r[2] == r[4]) for r in rows)
     assert sorted(map(tuple, packing.pack(docs, path).collect()), key=repr) == sorted(rows, key=repr)  # again the same
     assert packing.pack(empty, path).count() == 0
 
