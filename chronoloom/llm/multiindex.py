@@ -10,10 +10,15 @@ Codebooks and slack come from a bounded sample (``SAMPLE`` vectors). The slack i
 the least with which a share ``recall`` of neighbours exactly at the threshold,
 drawn around sampled vectors, would be met; nearer neighbours are met more often.
 
+Visits are not symmetric: of two alike vectors, one may visit the other's cell and
+not be visited itself. Each entry carries the cells that it visits, so the task
+that meets a pair knows if it is met from the other side too, and a link counts
+once for either end.
+
 Equal vectors are merged first. Crowded cells are cut in blocks of entries and of
-queries; a block pair is one task's matrix product, which gives each query its
+queries; a block pair is one task's matrix product, which gives each vector its
 number of links, and the links themselves only as a spanning star of each of the
-block's components.
+block's components. Vectors of each length have an index of their own.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import claim, cut_lineage, small
 from .components import components
 
-#: Vectors that codebooks are fitted on, and most words of one.
-SAMPLE, WORDS = 20_000, 256
+#: Vectors of a length that its codebooks are fitted on, and most words of one.
+SAMPLE, WORDS = 20_000, 1024
 #: Entries and queries of a block.
 ENTRIES, QUERIES = 1024, 4096
 
@@ -115,37 +120,41 @@ def fit(sample: np.ndarray, rows: int, threshold: float, recall: float = 0.999,
     return index
 
 
-def _places(shared):
-    """Each vector as an entry of its cell, and as a query of the cells that it visits."""
+def _visits(shared):
+    """Each vector's own cell, and the cells that it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("multiindex")
-        index = Index(*shared.value)
+        indexes = {size: Index(*parts) for size, parts in shared.value.items()}
         for batch in small(batches):
-            vectors = np.asarray(batch.column(1).to_pylist(), np.float64)
-            x = unit(vectors)
-            for a in range(0, len(x), 512):
-                own, visits = index.cells(x[a : a + 512]), index.visits(x[a : a + 512])
-                count = [1 + len(v) for v in visits]
-                take = pa.array(np.repeat(np.arange(a, a + len(own)), count))
-                cells = np.concatenate([[c, *v] for c, v in zip(own.tolist(), visits)]).astype(np.int64)
-                asks = np.concatenate([[False] + [True] * len(v) for v in visits])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(cells), pa.array(asks)], names=["rep", "label", "cell", "asks"])
+            vectors = batch.column("vector").to_pylist()
+            size = np.asarray([len(v) for v in vectors])
+            own, visits = np.zeros(len(size), np.int32), [[] for _ in size]
+            for n in np.unique(size):
+                if index := indexes.get(int(n)):  # else nothing has that length but one vector
+                    at = np.flatnonzero(size == n)
+                    x = unit(np.asarray([vectors[k] for k in at]))
+                    own[at] = index.cells(x)
+                    for k, cells in zip(at, index.visits(x)):
+                        visits[k] = cells
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), pa.array(size, pa.int32()), pa.array(own), pa.array(visits, pa.list_(pa.int32()))], names=["rep", "label", "size", "own", "visits"])
 
     return run
 
 
 def _verify(threshold: float):
-    """One block pair: links per query, and for each vector with a link the least one of its local component."""
+    """One block pair: for each vector with a link, the links that it has here, and the least vector of its local component."""
 
     def run(table: pa.Table) -> pa.Table:
-        reps = np.asarray(table.column("rep").to_pylist(), np.int64)
-        many = np.asarray(table.column("many").to_pylist(), np.int64)
+        reps, who = np.unique(np.asarray(table.column("rep").to_pylist(), np.int64), return_inverse=True)
+        many, own = (np.asarray(table.column(c).to_pylist(), np.int64) for c in ("many", "own"))
         x = np.asarray(table.column("vector").to_pylist(), np.float64)
         asks = np.asarray(table.column("asks").to_pylist(), bool)
         norm = np.linalg.norm(x, axis=1)
         e, q = np.flatnonzero(~asks), np.flatnonzero(asks)
-        found: dict[int, int] = {}
+        visits = table.column("visits").to_pylist()
+        seen = np.unique(np.concatenate([np.asarray(visits[k], np.int64) + (k << 32) for k in e])) if len(e) else np.zeros(0, np.int64)
+        found = np.zeros(len(reps), np.int64)
         root: dict[int, int] = {}
 
         def find(v: int) -> int:
@@ -157,62 +166,80 @@ def _verify(threshold: float):
         for a in range(0, len(q), 512):
             part = q[a : a + 512]
             cosine = (x[part] @ x[e].T) / (norm[part][:, None] * norm[e])
-            near = (cosine >= threshold) & (reps[part][:, None] != reps[e])
-            for i in np.flatnonzero(near.any(axis=1)):
-                who = int(reps[part[i]])
-                others = e[near[i]]
-                found[who] = found.get(who, 0) + int(many[others].sum())
-                for o in reps[others].tolist():
-                    s, t = find(who), find(o)
-                    if s != t:
-                        root[max(s, t)] = min(s, t)
-        nodes = list(root)
-        return pa.table([pa.array(nodes, pa.int64()), pa.array([find(v) for v in nodes], pa.int64()), pa.array([found.get(v, 0) for v in nodes], pa.int64())], names=["a", "b", "n"])
+            i, j = np.nonzero((cosine >= threshold) & (who[part][:, None] != who[e]))
+            i, j = part[i], e[j]
+            np.add.at(found, who[i], many[j])
+            once = ~np.isin((j << 32) + own[i], seen)  # the entry doesn't ask in the query's cell
+            np.add.at(found, who[j[once]], many[i[once]])
+            for s, t in zip(who[i].tolist(), who[j].tolist()):
+                s, t = find(s), find(t)
+                if s != t:
+                    root[max(s, t)] = min(s, t)
+        nodes = np.asarray(list(root), np.int64)
+        ends = np.asarray([find(v) for v in nodes.tolist()], np.int64)
+        return pa.table([pa.array(reps[nodes]), pa.array(reps[ends]), pa.array(found[nodes])], names=["a", "b", "n"])
 
     return run
 
 
+def _sample(distinct: DataFrame, size: int, total: int) -> np.ndarray:
+    """About ``SAMPLE`` of the vectors of a length, by a hash of their ids; all where there are no more."""
+    own = distinct.where(F.col("size") == size)
+    if total > SAMPLE:
+        own = own.where(F.xxhash64("rep") < F.lit(int(SAMPLE / total * 2**64) - 2**63))
+    found = own.select("vector").orderBy("vector").toArrow().column(0).combine_chunks()
+    if len(found) < 2:
+        raise RuntimeError(f"no sample of {total} vectors of length {size}")
+    return found.flatten().to_numpy().reshape(-1, size)
+
+
 def linked_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
-    Only vectors of equal, non-null label are compared. A vector that is null or
-    zero, holds a null or a non-finite component, has another length than most,
-    or has no label or id, links with nothing. Rows with equal vectors and labels
-    are linked without being compared; repeated rows count as vectors of their own.
+    Only vectors of equal, non-null label and equal length are compared. A vector
+    that is null, zero or without components, that holds a null or a non-finite
+    component, or that has no label or id, links with nothing. Rows with equal
+    vectors and labels are linked without being compared; repeated rows count as
+    vectors of their own. Each length that vectors have takes a fit at the driver.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("vector"))
-    lengths = rows.where("vector is not null").groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = lengths["size"] if lengths else 0
     bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") == size) & ~bad & F.exists("vector", lambda v: v != 0), F.lit(False))
-    keyed = rows.withColumn("good", good).withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.xxhash64("vector", F.lit(1)))
+    good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & F.exists("vector", lambda v: v != 0), F.lit(False))
+    keyed = rows.withColumn("good", good).withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.xxhash64(F.lit(1), "vector"))
     distinct = keyed.where("good").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.first("vector").alias("vector"))
-    distinct = cut_lineage(distinct)
-    total = distinct.count()
-    share = min(1.0, SAMPLE / max(1, total))
-    sample = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000)).select("vector").orderBy("vector").toArrow().column(0).to_pylist() if total else []
-    links = None
-    if len(sample) > 1:
-        index = fit(np.asarray(sample), total, threshold)
-        shared = spark.sparkContext.broadcast((index.one, index.two, index.slack))
-        places = cut_lineage(distinct.select("rep", "vector", "label").mapInArrow(_places(shared), f"rep long, label {rows.schema['label'].dataType.simpleString()}, cell long, asks boolean"))
-        cells = places.groupBy("label", "cell").agg(F.sum(F.when(F.col("asks"), 0).otherwise(1)).alias("e"), F.sum(F.when(F.col("asks"), 1).otherwise(0)).alias("q"))
-        cells = cells.where("e > 0 and q > 0 and e + q > 2").select("label", "cell", F.ceil(F.col("e") / ENTRIES).cast("int").alias("eb"), F.ceil(F.col("q") / QUERIES).cast("int").alias("qb"))
-        met = places.join(cells, ["label", "cell"])
-        own = F.when(F.col("asks"), F.pmod(F.xxhash64("rep"), "qb")).otherwise(F.pmod(F.xxhash64("rep"), "eb")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("eb")).otherwise(F.col("qb")) - 1))
-        met = met.withColumn("own", own).withColumn("other", other)
-        met = met.select("rep", "label", "cell", "asks", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("j"))
-        full = met.join(distinct.select("rep", "vector", "many"), "rep")
-        links = cut_lineage(full.groupBy("label", "cell", "i", "j").applyInArrow(_verify(threshold), "a long, b long, n long"))
+    distinct = cut_lineage(distinct.withColumn("size", F.size("vector")))
+    indexes = {}
+    for r in distinct.groupBy("size").count().where("count > 1").orderBy("size").collect():  # a row for each length
+        index = fit(_sample(distinct, r["size"], r["count"]), r["count"], threshold)
+        indexes[r["size"]] = index.one, index.two, index.slack
     reps = distinct.select("label", "k1", "k2", "rep", "many")
-    if links is None:
+    if not indexes:
         reps = reps.withColumn("n", F.lit(0).cast("long")).withColumn("component", F.col("rep"))
     else:
+        links = cut_lineage(_links(distinct, spark.sparkContext.broadcast(indexes), threshold))
         counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
         found = components(links, "a", "b").withColumnRenamed("node", "rep")
         reps = reps.join(counts, "rep", "left").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     linked = keyed.where("good").select("vec_id", "label", "k1", "k2").join(reps, ["label", "k1", "k2"]).select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"))
     alone = keyed.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _links(distinct: DataFrame, shared, threshold: float) -> DataFrame:
+    """What block pairs find: vectors, the least of their component there, their links there."""
+    label = distinct.schema["label"].dataType.simpleString()
+    placed = cut_lineage(distinct.select("rep", "vector", "label").mapInArrow(_visits(shared), f"rep long, label {label}, size int, own int, visits array<int>"))
+    entry = F.struct(F.col("own").alias("cell"), F.lit(False).alias("asks"), F.col("visits").alias("visits"))
+    asked = F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("asks"), F.lit(None).cast("array<int>").alias("visits")))
+    places = placed.select("rep", "label", "size", "own", F.explode(F.concat(F.array(entry), asked)).alias("p")).select("rep", "label", "size", "own", "p.*")
+    where = ["label", "size", "cell"]
+    cells = places.groupBy(*where).agg(F.sum(F.when(F.col("asks"), 0).otherwise(1)).alias("e"), F.sum(F.when(F.col("asks"), 1).otherwise(0)).alias("q"))
+    cells = cells.where("e > 0 and q > 0 and e + q > 2").select(*where, F.ceil(F.col("e") / ENTRIES).cast("int").alias("eb"), F.ceil(F.col("q") / QUERIES).cast("int").alias("qb"))
+    met = places.join(cells, where)
+    mine = F.when(F.col("asks"), F.pmod(F.xxhash64("rep"), "qb")).otherwise(F.pmod(F.xxhash64("rep"), "eb")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("eb")).otherwise(F.col("qb")) - 1))
+    met = met.withColumn("mine", mine).withColumn("other", other)
+    met = met.select("rep", *where, "asks", "own", "visits", F.when(F.col("asks"), F.col("other")).otherwise(F.col("mine")).alias("i"), F.when(F.col("asks"), F.col("mine")).otherwise(F.col("other")).alias("j"))
+    full = met.join(distinct.select("rep", "vector", "many"), "rep")
+    return full.groupBy(*where, "i", "j").applyInArrow(_verify(threshold), "a long, b long, n long")

@@ -154,12 +154,12 @@ def test_near_counts(spark):
 
 def brute_links(rows, threshold=0.98):
     def ok(v, label, i):
-        return v is not None and label is not None and i is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        return v is not None and label is not None and i is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
     u, n = Union(), [0] * len(rows)
     for a, (i, v, k) in enumerate(rows):
         for b, (j, w, m) in enumerate(rows[:a]):
-            if ok(v, k, i) and ok(w, m, j) and k == m:
+            if ok(v, k, i) and ok(w, m, j) and k == m and len(v) == len(w):
                 x, y = np.asarray(v, float), np.asarray(w, float)
                 if v == w or x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= threshold:
                     n[a] += 1
@@ -191,7 +191,45 @@ def test_linked_vectors(spark, seed, monkeypatch):
     want = brute_links(rows)
     found = sorted(map(tuple, got.collect()), key=repr)
     assert [x[0] for x in found] == [x[0] for x in want]
-    assert all(g[1] <= w[1] for g, w in zip(found, want)) and sum(g[1] for g in found) >= 0.98 * sum(w[1] for w in want)
+    assert found == want
+
+
+def test_planted_links_at_the_threshold(spark):
+    """Pairs barely above and below 0.98, of two lengths: links counted at both ends, recall against brute force."""
+    r = np.random.default_rng(5)
+    rows = []
+    for n, pairs in ((24, 900), (9, 300)):
+        base = r.normal(size=(pairs, n))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        aside = r.normal(size=base.shape)
+        aside -= (aside * base).sum(axis=1, keepdims=True) * base
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        cosine = r.choice([0.9795, 0.9801, 0.985], size=(pairs, 1))
+        for x in (base, 3 * (cosine * base + np.sqrt(1 - cosine**2) * aside)):
+            rows += [(len(rows) + k, [float(c) for c in v], k % 3) for k, v in enumerate(x)]
+    got = sorted(map(tuple, multiindex.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    want = sorted(brute_links(rows))
+    assert sum(w[1] for w in want) > 1200
+    assert all(g[1] <= w[1] for g, w in zip(got, want)) and sum(g[1] for g in got) >= 0.995 * sum(w[1] for w in want)
+    assert sum(g[1] for g in got) % 2 == 0 and all((g[1] > 0) == (w[1] > 0) or g[1] == 0 for g, w in zip(got, want))
+    linked = {g[2] for g in got if g[2] != g[0]} | {g[0] for g in got if g[2] != g[0]}
+    assert {g[0] for g in got if g[1]} == linked  # who has a link is in a component, and the other way round
+
+
+def test_one_sided_visits_count_at_both_ends():
+    """A block where the query's cell is not among those that the entry visits."""
+    import pyarrow as pa
+
+    rows = [(5, 2, 0, [1.0, 0.0], True, None), (7, 3, 1, [1.0, 0.01], False, [1]), (8, 1, 1, [1.0, 0.02], False, [1, 0]), (9, 1, 1, [0.0, 1.0], False, [0])]
+    table = pa.table({c: [r[k] for r in rows] for k, c in enumerate(("rep", "many", "own", "vector", "asks", "visits"))})
+    out = multiindex._verify(0.98)(table).to_pylist()
+    assert sorted((r["a"], r["b"], r["n"]) for r in out) == [(5, 5, 4), (7, 5, 2), (8, 5, 0)]
+
+
+def test_lengths_have_indexes_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.0, 0.0], 0), (4, [1.0, 0.0, 0.01], 0), (5, [2.0], 0), (6, [], 0), (7, [3.0, 0.0], 1)]
+    got = sorted(map(tuple, multiindex.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
 
 
 def test_no_vectors(spark):
