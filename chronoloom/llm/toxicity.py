@@ -11,12 +11,15 @@ that is where the model would start to fit single unlabelled rows. A word gives
 itself and its beginnings as features, so families of words share weight. As the
 model is linear, scoring is a sum of one number per word, kept by each worker.
 
-The scale and offset of the logits are then fitted on positives that a model of
-the other half has not seen, and on texts that are known not to be toxic.
-
-Training reads a bounded sample (``positives``, ``unlabelled`` and ``negatives``
-rows; the class prior counts every labelled row outside the held-out fold). Scoring reads
-every whole text.
+Two models are trained, each on a half of either sample; what they say of the other
+halves serves twice. The class prior is the least share of unlabelled texts per
+share of positives above any cut of the logits, as far as their numbers prove it.
+Then slope and offset of the logits minimise the same risk (with logistic loss and
+two parameters it is convex and needs no clamp). The model is the mean of both. No
+label but a confirmed positive is used anywhere.
+
+Training reads a bounded sample (about ``positives`` and ``unlabelled`` rows).
+Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -61,30 +64,45 @@ def text_vector(text: str) -> Vector:
     return keys.astype(np.int32), (np.bincount(at, weights=val) / np.sqrt(n)).astype(np.float32)
 
 
-def _collected(texts: DataFrame, among: np.ndarray | None = None) -> list[Vector]:
-    """The vectors of a bounded sample on the driver, in an order that does not depend on where they were made.
+def _feature_counts(texts: DataFrame, least: int) -> np.ndarray:
+    """In how many texts of a bounded sample each feature is, counted by the executors; 0 where in fewer than ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
+        for batch in small(batches):
+            found = [text_vector(t)[0] for t in strings(batch.column("text"))]
+            k, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()  # 2**BITS rows at most
+    out = np.zeros(1 << BITS, np.int64)
+    out[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _collected(texts: DataFrame, among: np.ndarray) -> tuple[list[Vector], list[Vector]]:
+    """The vectors of bounded samples on the driver, positives and unlabelled, in an order that does not depend on where they were made.
 
+    ``texts`` tells by ``positive`` and ``sampled`` which a row is in; it may be both.
     ``among`` marks the features that matter; others stay on the executors.
     """
-    marks = None if among is None else np.packbits(among).tobytes()
+    marks = np.packbits(among).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
-        wanted = None if marks is None else np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
+        wanted = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
         for batch in small(batches):
-            got = [text_vector(t) for t in strings(batch.column(0))]
-            if wanted is not None:
-                got = [(k[ok], v[ok]) for k, v in got for ok in [wanted[k]]]
-            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["k", "v"])
+            got = [(k[ok].tobytes(), v[ok].tobytes()) for k, v in map(text_vector, strings(batch.column("text"))) for ok in [wanted[k]]]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("sampled"), pa.array([k for k, _ in got], pa.binary()), pa.array([v for _, v in got], pa.binary())], names=["positive", "sampled", "k", "v"])
 
-    rows = texts.select("text").mapInArrow(run, "k binary, v binary").toArrow()
-    pairs = sorted(zip(rows.column("k").to_pylist(), rows.column("v").to_pylist()))
-    return [(np.frombuffer(k, np.int32), np.frombuffer(v, np.float32)) for k, v in pairs]
+    rows = texts.select("text", "positive", "sampled").mapInArrow(run, "positive boolean, sampled boolean, k binary, v binary").toArrow()
+    every = sorted(zip(*[rows.column(c).to_pylist() for c in ("k", "v", "positive", "sampled")]), key=lambda x: x[:2])
+    both = [[(np.frombuffer(x[0], np.int32), np.frombuffer(x[1], np.float32)) for x in every if x[which]] for which in (2, 3)]
+    return both[0], both[1]
 
 
-def telling(positive: list[Vector], least: int = 3, share: float = 0.005) -> np.ndarray:
-    """Marks of the features that enough positive texts have, in number and as a share; others cannot speak for the class."""
-    return _document_counts(positive) >= max(min(least, max(1, len(positive))), share * len(positive))
+#: A feature speaks for the class if so many positives have it (all, where they are fewer).
+LEAST = 3
 
 
 def _document_counts(vectors: list[Vector]) -> np.ndarray:
@@ -120,6 +138,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of logits of positive and unlabelled texts, and the step's direction by each of them.
+
+    The direction is the risk's gradient; where the risk of the negative class,
+    ``mean_U l(-g) - p * mean_P l(-g)``, is below zero, it is that of minus this part.
+    """
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    up, uu = _sigmoid(zp), _sigmoid(zu)
+    value = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+    if negative < 0:  # climb back
+        return value, prior * up / len(zp), -uu / len(zu)
+    return value, -prior * (1 - up) / len(zp) - prior * up / len(zp), uu / len(zu)
+
+
 def train(p_vec: list[Vector], u_vec: list[Vector], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, sure: float = 2.0) -> tuple[np.ndarray, float]:
     """Weights by hashed feature, and the bias. Without positive or unlabelled texts: zeros and the prior's log-odds."""
     prior = min(max(prior, 1e-4), 0.9)
@@ -128,7 +160,7 @@ def train(p_vec: list[Vector], u_vec: list[Vector], prior: float, steps: int = 2
     if not len(p_vec) or not len(u_vec):
         return weights, bias
     # a feature counts as far as its share among toxic texts surely exceeds, or falls below, that among all
-    found = np.flatnonzero(telling(p_vec))
+    found = np.flatnonzero(_document_counts(p_vec) >= min(LEAST, len(p_vec)))
     p_df, u_df = _document_counts(p_vec)[found] + 0.5, _document_counts(u_vec)[found] + 0.5
     ratio = np.log(p_df / (len(p_vec) + 1)) - np.log(u_df / (len(u_vec) + 1))
     by = np.sign(ratio) * np.maximum(0, np.abs(ratio) - sure * np.sqrt(1 / p_df + 1 / u_df))
@@ -142,14 +174,7 @@ def train(p_vec: list[Vector], u_vec: list[Vector], prior: float, steps: int = 2
     w, b = np.zeros(width), bias
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, steps + 1):
-        zp, zu = P.dot(w) + b, U.dot(w) + b
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up, uu = _sigmoid(zp), _sigmoid(zu)
-        g_pos, g_u, g_p = -prior * (1 - up) / P.n, uu / U.n, -prior * up / P.n
-        if negative < 0:  # climb back
-            gp, gu = -g_p, -g_u
-        else:
-            gp, gu = g_pos + g_p, g_u
+        _, gp, gu = risk(P.dot(w) + b, U.dot(w) + b, prior)
         grad = P.back(gp, width) + U.back(gu, width) + decay * w
         gb = gp.sum() + gu.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -165,38 +190,62 @@ def logits(vectors: list[Vector], weights: np.ndarray, bias: float) -> np.ndarra
     return np.asarray([float(v @ weights[k]) + bias for k, v in vectors])
 
 
-def calibration(positive: np.ndarray, negative: np.ndarray, prior: float, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset that turn logits into log-odds: a logistic fit in which the classes weigh as the prior says."""
-    z = np.concatenate([positive, negative])
-    spread = max(1e-9, float(z.std()))
-    z = z / spread
-    y = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
-    share = np.concatenate([np.full(len(positive), prior / len(positive)), np.full(len(negative), (1 - prior) / len(negative))])
+def class_prior(zp: np.ndarray, zu: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among unlabelled texts, from logits of texts that the model has not seen.
+
+    Above any cut, unlabelled texts are at least the prior times as frequent as
+    positives. So the prior is the least such ratio; the cut is the one at which its
+    upper bound (both shares off by as much as their numbers allow) is least.
+    """
+    off_p, off_u = (np.sqrt(np.log(4 / doubt) / 2 / len(z)) for z in (zp, zu))
+    cuts = np.sort(zp)
+    above_p = 1 - np.arange(len(cuts)) / len(cuts)
+    above_u = 1 - np.searchsorted(np.sort(zu), cuts, side="left") / len(zu)
+    bound = np.where(above_p > 2 * off_p, (above_u + off_u) / np.maximum(above_p - off_p, 1e-9), np.inf)
+    k = int(bound.argmin())
+    return float(np.clip(above_u[k] / above_p[k], 1e-4, 0.9))
+
+
+def calibration(zp: np.ndarray, zu: np.ndarray, prior: float, steps: int = 100) -> tuple[float, float]:
+    """Slope and offset that turn logits of unseen texts into log-odds: least unbiased risk, with a small penalty on the slope.
+
+    With logistic loss it is ``mean_U log(1 + e^f) - p * mean_P f``, convex in both.
+    """
+    spread = max(1e-9, float(zu.std()))
+    u, p = zu / spread, float(zp.mean()) / spread
     a, b = 1.0, 0.0
-    for _ in range(steps):  # Newton's method, damped by a small penalty on the slope
-        p = _sigmoid(a * z + b)
-        g = np.asarray([(share * (p - y) * z).sum() + 1e-3 * (a - 1), (share * (p - y)).sum()])
-        r = share * np.maximum(p * (1 - p), 1e-9)
-        h = np.asarray([[(r * z * z).sum() + 1e-3, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-9]])
+    for _ in range(steps):  # Newton's method
+        s = _sigmoid(a * u + b)
+        r = np.maximum(s * (1 - s), 1e-12)
+        g = np.asarray([(s * u).mean() - prior * p + 1e-3 * a, s.mean() - prior])
+        h = np.asarray([[(r * u * u).mean() + 1e-3, (r * u).mean()], [(r * u).mean(), r.mean() + 1e-9]])
         da, db = np.linalg.solve(h, g)
         step = min(1.0, 2.0 / max(1e-9, abs(da), abs(db)))
         a, b = a - step * da, b - step * db
     return (float(a) / spread, float(b)) if a > 0 and np.isfinite([a, b]).all() else (1.0, 0.0)
 
 
-def train_calibrated(p_vec: list[Vector], u_vec: list[Vector], n_vec: list[Vector], prior: float) -> tuple[np.ndarray, float]:
-    """The model of all rows, calibrated on positives that a model of the other half has not seen, and on known negatives."""
-    weights, bias = train(p_vec, u_vec, prior)
-    halves = p_vec[::2], p_vec[1::2]
-    if min(map(len, halves)) < 10 or len(n_vec) < 20:
-        return weights, bias
-    seen, clean = [], []
-    for own, other in (halves, halves[::-1]):
-        w, b = train(own, u_vec, prior)
-        seen.append(logits(other, w, b))
-        clean.append(logits(n_vec, w, b))
-    a, c = calibration(np.concatenate(seen), np.concatenate(clean), prior)
-    return weights * a, bias * a + c
+#: The prior before it is known, and the rows of a half that are needed to learn it.
+GUESS, ENOUGH = 0.1, 10
+
+
+def train_calibrated(p_vec: list[Vector], u_vec: list[Vector]) -> tuple[np.ndarray, float]:
+    """The mean of two models, each of a half of the rows and calibrated on the others; of few rows, one model as it is."""
+    halves = [(p_vec[k::2], u_vec[k::2]) for k in (0, 1)]
+    if min(len(x) for half in halves for x in half) < ENOUGH:
+        return train(p_vec, u_vec, GUESS)
+
+    def unseen(model: tuple[np.ndarray, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+        return logits(halves[1 - k][0], *model), logits(halves[1 - k][1], *model)
+
+    prior = float(np.mean([class_prior(*unseen(train(*halves[k], GUESS), k)) for k in (0, 1)]))
+    weights, bias = np.zeros(1 << BITS), 0.0
+    for k in (0, 1):
+        w, b = train(*halves[k], prior)
+        slope, offset = calibration(*unseen((w, b), k), prior)
+        weights += w * slope / 2
+        bias += (b * slope + offset) / 2
+    return weights, bias
 
 
 def score_texts(texts: list[str], weights: np.ndarray, bias: float, cache: dict[str, float]) -> list[float]:
@@ -233,29 +282,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _sample(df: DataFrame, rows: int, salt: int) -> DataFrame:
-    """About ``rows`` rows, chosen by their id alone."""
-    share = min(1.0, rows / max(1, df.count()))
-    return df if share >= 1 else df.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000))
+def _chosen(rows: int, of: int, salt: int) -> Column:
+    """Chooses about ``rows`` of ``of`` rows by a 64-bit hash of their id; all where there are no more."""
+    if of <= rows:
+        return F.lit(True)
+    return F.coalesce(F.xxhash64(F.lit(salt), F.col("doc_id")) < F.lit(int(rows / of * 2**64) - 2**63), F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 5000, negatives: int = 2000) -> tuple[np.ndarray, float]:
-    """Train on confirmed toxic documents and on unlabelled ones, calibrate on known others; none is of the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000) -> tuple[np.ndarray, float]:
+    """Train on confirmed toxic documents and on unlabelled ones, none of the held-out fold."""
     spark = docs.sparkSession
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, toxic = known.agg(F.count(F.lit(1)), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
-    texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-    def labelled(toxic: int, rows: int, among: np.ndarray | None = None) -> list[Vector]:
-        ids = [(r.doc_id,) for r in _sample(known.where(F.col("toxic") == toxic).select("doc_id"), rows, 1).collect()]
-        chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long"))  # about ``rows`` ids at most
-        return _collected(texts.join(chosen, "doc_id", "left_semi"), among) if ids else []
-
-    p = labelled(1, positives)
-    marks = telling(p)
-    u = _collected(_sample(texts.where(~held_out(F.col("doc_id"))), unlabelled, 2), marks)
-    model = train_calibrated(p, u, labelled(0, negatives, marks), (toxic or 0) / n if n else 0.01)
-    del p, u, marks
+    known = labels.where((F.col("toxic") == 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    n, total = known.count(), docs.count()
+    ids = [(r.doc_id,) for r in known.where(_chosen(positives, n, 1)).collect()]  # about ``positives`` rows
+    chosen = F.broadcast(spark.createDataFrame([(*i, True) for i in ids], "doc_id long, positive boolean"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    counts = _feature_counts(texts.join(chosen, "doc_id", "left_semi"), min(LEAST, max(1, len(ids))))
+    sampled = (_chosen(unlabelled, total, 2) & ~held_out(F.col("doc_id"))).alias("sampled")
+    rows = texts.join(chosen, "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"), sampled).where("positive or sampled")
+    p, u = _collected(rows, counts > 0)
+    if total > unlabelled and not u:
+        raise RuntimeError(f"no unlabelled row of {total} is in the sample")
+    model = train_calibrated(p, u)
+    del p, u, counts
     trim()  # of the driver
     return model
 

@@ -171,6 +171,63 @@ def test_learns_from_positive_and_unlabelled(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+def test_known_negatives_change_nothing(spark):
+    """Only confirmed positives are learned from."""
+    rows = corpus(600, 2)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    bad = [(i, 1) for i, _, y in rows if y]
+    good = [(i, 0) for i, _, y in rows if not y and i % 3 == 0] + [(10**6 + k, 0) for k in range(50)]
+    one, two = (toxicity.fit(df, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (bad, bad + good))
+    assert (one[0] == two[0]).all() and one[1] == two[1]
+
+
+@pytest.mark.parametrize("prior, clamped", [(0.3, False), (0.9, True)])
+def test_gradient_of_the_risk(prior, clamped):
+    """By finite differences: of the whole risk, or of minus its negative part where that is below zero."""
+    r = np.random.default_rng(3)
+    zp, zu = r.normal(size=7) + (3 if clamped else 0), r.normal(size=9) - (4 if clamped else 0)
+
+    def negative(p, u):
+        return np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+
+    assert (negative(zp, zu) < 0) == clamped
+
+    def value(p, u):
+        return -negative(p, u) if clamped else toxicity.risk(p, u, prior)[0]
+
+    whole, gp, gu = toxicity.risk(zp, zu, prior)
+    assert np.isclose(whole, prior * np.logaddexp(0, -zp).mean() + max(0, negative(zp, zu)))
+    eps = 1e-6
+    for got, z, of in ((gp, zp, lambda x: value(x, zu)), (gu, zu, lambda x: value(zp, x))):
+        for k in range(len(z)):
+            step = np.eye(len(z))[k] * eps
+            assert np.isclose(got[k], (of(z + step) - of(z - step)) / 2 / eps, atol=1e-8)
+
+
+def test_prior_and_calibration_from_unseen_logits():
+    """Logits of two normal classes: the prior is found, and so are the log-odds."""
+    r = np.random.default_rng(4)
+    prior, n = 0.2, 20_000
+    zp = r.normal(2, 1, 4000)
+    zu = np.where(r.random(n) < prior, r.normal(2, 1, n), r.normal(-2, 1, n))
+    assert abs(toxicity.class_prior(zp, zu) - prior) < 0.02
+    slope, offset = toxicity.calibration(zp, zu, prior)
+    assert 2 < slope < 4.5  # 4 less what the penalty takes
+    assert abs(-offset / slope - np.log((1 - prior) / prior) / 4) < 0.1  # where the classes are equally likely
+
+
+def test_scores_equal_the_dense_product():
+    r = np.random.default_rng(5)
+    weights, bias = r.normal(size=1 << toxicity.BITS) * 0.1, -0.3
+    texts = ["", "Some WORDS, and some words again", "x" * 3000 + " été", "a b c " * 500]
+    got = toxicity.score_texts(texts, weights, bias, {})
+    for t, s in zip(texts, got):
+        dense = np.zeros(1 << toxicity.BITS)
+        k, v = toxicity.text_vector(t)
+        dense[k] = v
+        assert np.isclose(s, 1 / (1 + np.exp(-(dense @ weights + bias))), atol=1e-6)
+
+
 def test_risk_does_not_go_below_zero():
     """With as few rows as features the plain estimate would run to minus infinity; the weights stay bounded."""
     texts = [f"a{k} b{k} common" for k in range(30)]
