@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import UTC, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NANOS = 1_000_000_000
@@ -135,3 +135,11 @@ def seconds(column: str = "ts_nanos") -> Column:
 def formatted(pattern: str, column: str = "ts_nanos") -> Column:
     """A time by a Spark date pattern, in UTC whatever the session's zone, to the microsecond."""
     return F.date_format(F.expr(f"timestampadd(MICROSECOND, {column} div 1000, timestamp_ntz'1970-01-01 00:00:00')"), pattern)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

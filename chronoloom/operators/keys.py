@@ -9,14 +9,18 @@ import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions.predicates import free_name
 
 
 def by_key(records: DataFrame) -> DataFrame:
     """A row per key with its records in the order of time, as an array.
 
-    For keys of moderate size; ``per_key_stats`` and ``map_keys`` need no array.
+    For keys of moderate size; ``per_key_stats``, ``stream_keys`` and ``iterate_keys`` hold no series as a whole.
     """
     rest = [c for c in records.columns if c != "key"]
     ordered = ["ts_nanos", *[c for c in rest if c != "ts_nanos"]]
@@ -25,8 +29,8 @@ def by_key(records: DataFrame) -> DataFrame:
 
 def first_per_key(records: DataFrame, n: int) -> DataFrame:
     """The first ``n`` records of each key: a group that is left early."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("ts_nanos"))
-    return records.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    rank = free_name(records, "rank")
+    return records.withColumn(rank, F.row_number().over(Window.partitionBy("key").orderBy("ts_nanos"))).where(F.col(rank) <= n).drop(rank)
 
 
 def per_key_stats(records: DataFrame, value: Column) -> DataFrame:
@@ -42,6 +46,41 @@ def map_keys(records: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], sche
     return records.groupBy("key").applyInPandas(lambda pdf: f(pdf.sort_values("ts_nanos", kind="stable")), schema)
 
 
+def stream_keys(records: DataFrame, f: Callable[[str, Iterator[dict]], Iterator[tuple]], schema: str, partitions: int | None = None) -> DataFrame:
+    """A function of each key and its records in the order of time, which come one by one and are never held together.
+
+    ``f`` gives rows of ``schema``. It may stop reading a key early; what is left of the key is passed over.
+    """
+    fields = records.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for a in range(0, batch.num_rows, 1000) for row in batch.slice(a, 1000).to_pylist())
+        out: list[tuple] = []
+        kinds = to_arrow_schema(fields)
+        for key, group in itertools.groupby(rows, key=lambda r: r["key"]):
+            for row in f(key, group):
+                out.append(row)
+                if len(out) >= 1000:
+                    yield _batch(out, kinds)
+                    out = []
+        if out:
+            yield _batch(out, kinds)
+
+    return partition_by_key(records, partitions).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def iterate_keys(records: DataFrame) -> Iterator[tuple[str, Iterator[Row]]]:
+    """Keys in order, each with its records in the order of time, a partition at a time on the driver.
+
+    A key's records are read as they are asked for; going on to the next key passes over the rest.
+    """
+    return itertools.groupby(records.orderBy("key", "ts_nanos").toLocalIterator(), key=lambda r: r["key"])
+
+
 def map_reduce(records: DataFrame, *aggregates: Column) -> DataFrame:
     """Aggregates over all records: partial ones in each task, then one row."""
     return records.agg(*aggregates)

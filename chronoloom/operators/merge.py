@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.predicates import like_pattern
+from ..functions.predicates import free_name, like_pattern
 
 DELETES = T.StructType([
     T.StructField("txid", T.LongType(), False), T.StructField("first_key", T.StringType()), T.StructField("last_key", T.StringType()),
     T.StructField("first_ts", T.LongType()), T.StructField("last_ts", T.LongType()), T.StructField("wildcard", T.StringType()),
 ])
-#: Markers up to this many become literal predicates, which Parquet can use; up to the second number they are broadcast.
-INLINE, BROADCAST = 32, 100_000
+#: Markers up to this many become literal predicates, which Parquet can use; up to the second number they are read once, by the driver, and broadcast.
+INLINE, BROADCAST = 32, 50_000
+#: Ranges that keys or times are cut in, so that a row meets the markers of its own range alone.
+ZONES = 2000
 
 
 def union_transactions(parts: Sequence[DataFrame]) -> DataFrame:
@@ -46,7 +48,8 @@ def latest_wins(records: DataFrame, by: Sequence[str] = ("key", "ts_nanos"), ord
         values = [F.max(order).alias(c) if c == order else F.max_by(c, order).alias(c) for c in rest]
         return records.groupBy(*by).agg(*values).select(records.columns)
     ranking = Window.partitionBy(*by).orderBy(*([F.col(order).desc()] if isinstance(order, str) else order))
-    return records.withColumn("_rank", F.row_number().over(ranking)).where("_rank = 1").drop("_rank")
+    rank = free_name(records, "rank")
+    return records.withColumn(rank, F.row_number().over(ranking)).where(F.col(rank) == 1).drop(rank)
 
 
 def _covers(m: dict, key: str, ts: str, txid: str) -> Column:
@@ -67,33 +70,63 @@ def _covers(m: dict, key: str, ts: str, txid: str) -> Column:
 
 def _condition(r: str, d: str) -> Column:
     """Whether a row of ``r`` is covered by a marker of ``d``; null and empty bounds are open."""
-    pattern = F.replace(F.replace(F.coalesce(F.col(f"{d}.wildcard"), F.lit("%")), F.lit("\\"), F.lit("\\\\")), F.lit("_"), F.lit("\\_"))
+    wild = F.coalesce(F.col(f"{d}.wildcard"), F.lit("%"))
+    pattern = F.replace(F.replace(wild, F.lit("\\"), F.lit("\\\\")), F.lit("_"), F.lit("\\_"))
     return (
         (F.col(f"{r}.txid") < F.col(f"{d}.txid"))
         & (F.col(f"{r}.key") >= F.coalesce(F.col(f"{d}.first_key"), F.lit("")))
         & ((F.coalesce(F.col(f"{d}.last_key"), F.lit("")) == "") | (F.col(f"{r}.key") < F.col(f"{d}.last_key")))
         & (F.col(f"{d}.first_ts").isNull() | (F.col(f"{r}.ts_nanos") >= F.col(f"{d}.first_ts")))
         & (F.col(f"{d}.last_ts").isNull() | (F.col(f"{r}.ts_nanos") < F.col(f"{d}.last_ts")))
-        & F.like(F.col(f"{r}.key"), pattern)
+        & ((wild == "%") | F.like(F.col(f"{r}.key"), pattern))
     )
 
 
-def _zone(key: Column, bounds: list[str]) -> Column:
-    """Which of the ranges between sorted bounds a key is in, by binary search."""
+def _zone(value: Column, bounds: list) -> Column:
+    """Which of the ranges between sorted bounds a value is in, by binary search."""
     values = F.array(*map(F.lit, bounds))
     steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(values, acc + s - 1) <= key), acc + s).otherwise(acc))
+    return F.aggregate(steps, F.lit(0), lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(values, acc + s - 1) <= value), acc + s).otherwise(acc))
+
+
+def _suppress_by_zone(records: DataFrame, markers: DataFrame, column: str, low: Column, high: Column, few: bool) -> DataFrame:
+    """Anti-join in which a row meets only the markers that touch its range of ``column``; null bounds are open.
+
+    A marker goes to all ranges that it touches. Any bounds give the right rows;
+    these come from a hash sample of the markers' own, so ranges hold about as many.
+    """
+    edges = markers.select(low.alias("b")).unionByName(markers.select(high.alias("b"))).where("b is not null").distinct()
+    total = edges.count()
+    if total > ZONES:
+        edges = edges.where(F.xxhash64("b") < F.lit(int(ZONES / total * 2**64) - 2**63))
+    bounds = sorted(r.b for r in edges.collect())  # about ZONES at most
+    if not bounds:
+        return records.alias("r").join(F.broadcast(markers).alias("d") if few else markers.alias("d"), _condition("r", "d"), "left_anti")
+    first = F.when(low.isNull(), 0).otherwise(_zone(low, bounds))
+    last = F.when(high.isNull(), len(bounds)).otherwise(_zone(high, bounds))
+    spread = markers.withColumn("zone", F.explode(F.sequence(first, F.greatest(first, last))))
+    return records.alias("r").join((F.broadcast(spread) if few else spread).alias("d"), (_zone(F.col(f"r.{column}"), bounds) == F.col("d.zone")) & _condition("r", "d"), "left_anti")
+
+
+def _bounds(markers: DataFrame) -> DataFrame:
+    """Markers with the key bounds ``low`` and ``high`` (null: open) that follow from their keys and the beginning of their pattern."""
+    prefix = F.regexp_extract(F.coalesce("wildcard", F.lit("%")), "^[^%]*", 0)
+    end = F.ascii(F.right(prefix, F.lit(1)))  # of a last character beyond ASCII no bound is made
+    after = F.when((prefix != "") & (F.octet_length(F.right(prefix, F.lit(1))) == 1) & (end < 127), F.concat(F.substring(prefix, F.lit(1), F.char_length(prefix) - 1), F.char(end + 1)))
+    given = [F.when(F.coalesce(c, F.lit("")) != "", F.col(c)) for c in ("first_key", "last_key")]
+    return markers.withColumn("low", F.greatest(given[0], F.when(prefix != "", prefix))).withColumn("high", F.least(given[1], after))
 
 
 def suppress(records: DataFrame, deletes: DataFrame) -> DataFrame:
     """Rows that no later marker covers: a theta anti-join.
 
-    A few markers become predicates. More are broadcast, as their number is known
-    and small. Beyond that, keys are cut in ranges, each marker goes to the ranges
-    that it touches, and the join has the range as an equal key.
+    A few markers become predicates. More are split: those that bound keys (also
+    by the beginning of their pattern) meet the rows of the key ranges that they
+    touch, by an equal key; the others those of the time ranges that they touch.
+    Up to ``BROADCAST`` markers are read once and sent to all tasks.
     """
-    markers = deletes.select([f.name for f in DELETES])
-    some = [r.asDict() for r in markers.limit(INLINE + 1).collect()]
+    names = [f.name for f in DELETES]
+    some = [r.asDict() for r in deletes.select(names).limit(BROADCAST + 1).collect()]
     if not some:
         return records
     if len(some) <= INLINE:
@@ -101,17 +134,17 @@ def suppress(records: DataFrame, deletes: DataFrame) -> DataFrame:
         for m in some:
             covered = covered | _covers(m, "key", "ts_nanos", "txid")
         return records.where(~covered)
-    if markers.count() <= BROADCAST:
-        return records.alias("r").join(F.broadcast(markers).alias("d"), _condition("r", "d"), "left_anti")
-    starts = markers.select(F.coalesce("first_key", F.lit("")).alias("k")).distinct()
-    share = min(1.0, 2000 / max(1, starts.count()))
-    bounds = sorted(r.k for r in starts.where(F.pmod(F.xxhash64("k"), F.lit(10_000)) < int(share * 10_000)).limit(4000).collect())  # any bounds are right, even ones are faster
-    if not bounds:
-        bounds = [""]
-    last = F.when(F.coalesce("last_key", F.lit("")) == "", F.lit(len(bounds))).otherwise(_zone(F.col("last_key"), bounds))
-    spread = markers.withColumn("zone", F.explode(F.sequence(_zone(F.coalesce("first_key", F.lit("")), bounds), last)))
-    rows = records.withColumn("zone", _zone(F.col("key"), bounds))
-    return rows.alias("r").join(spread.alias("d"), (F.col("r.zone") == F.col("d.zone")) & _condition("r", "d"), "left_anti").drop("zone")
+    few = len(some) <= BROADCAST
+    markers = _bounds(records.sparkSession.createDataFrame([tuple(m[n] for n in names) for m in some], DELETES) if few else deletes.select(names))
+    keyed, rest = (markers.where(c) for c in ("low is not null or high is not null", "low is null and high is null"))
+    open_ends = rest.limit(INLINE + 1).collect()
+    if len(open_ends) <= INLINE:
+        out = records
+        for m in open_ends:
+            out = out.where(~_covers(m.asDict(), "key", "ts_nanos", "txid"))
+    else:
+        out = _suppress_by_zone(records, rest, "ts_nanos", F.col("first_ts"), F.col("last_ts"), few)
+    return out if len(open_ends) == len(some) else _suppress_by_zone(out, keyed, "key", F.col("low"), F.col("high"), few)
 
 
 def resolve(records: DataFrame, deletes: DataFrame | None = None, transactions: int | None = None) -> DataFrame:

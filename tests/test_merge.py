@@ -90,6 +90,55 @@ def test_latest_wins_plans(spark):
     assert "Exchange" not in merge.resolve(df, None, 1)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_many_markers_of_all_kinds(spark, monkeypatch, few):
+    """Zones of keys and of times, beginnings of patterns as bounds, and columns with the names of helpers."""
+    monkeypatch.setattr(merge, "INLINE", 2)
+    monkeypatch.setattr(merge, "ZONES", 8)
+    if not few:
+        monkeypatch.setattr(merge, "BROADCAST", 5)
+    r = random.Random(8)
+    word = lambda: "".join(r.choices(["a", "b", "_", "\\", "é", "~", "\x7f"], k=r.randint(1, 4)))
+    rows = [(word(), r.randint(0, 40), n, n, "x", 7, 8) for n in range(500)]
+    pattern = lambda: r.choice(["%", "%", None, f"{word()}%", f"%{word()[:1]}%", word(), f"{word()[:1]}%{word()[:1]}"])
+    deletes = []
+    for _ in range(60):
+        a, b = sorted([word(), word()])
+        deletes.append((r.randint(0, 300), r.choice([None, "", a]), r.choice([None, "", b]), r.choice([None, r.randint(0, 40)]), r.choice([None, r.randint(0, 40)]), pattern()))
+    deletes = [d for d in deletes if any(d[1:5]) or d[5] not in ("%", None)]
+    df = spark.createDataFrame(rows, f"{RECORDS}, zone int, rank int")
+    got = merge.suppress(df, spark.createDataFrame(deletes, merge.DELETES))
+    assert got.columns == df.columns
+    left = sorted(map(tuple, got.collect()))
+    assert left == sorted(x for x in rows if not any(covered(x, d, like) for d in deletes)) and 0 < len(left) < 500
+    assert merge.latest_wins(df).columns == keys.first_per_key(df, 1).columns == df.columns
+
+
+def test_keyed_markers_do_not_meet_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(merge, "INLINE", 2)
+    deletes = [(9, f"k{n:03d}", f"k{n + 1:03d}", None, None, "%") for n in range(0, 100, 3)]
+    got = merge.suppress(spark.createDataFrame([("k001", 1, 1, 1, "x"), ("k003", 1, 1, 1, "x")], RECORDS), spark.createDataFrame(deletes, merge.DELETES))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    assert [r.key for r in got.collect()] == ["k001"]
+
+
+def test_streamed_keys(spark):
+    rows = [(f"k{n % 7}", n, n * 2) for n in range(5000)] + [("one", 1, 1)]
+    df = spark.createDataFrame(rows, "key string, ts_nanos long, v1 long").repartition(5)
+
+    def early(key, records):
+        first = next(records)
+        yield key, first["ts_nanos"], sum(1 for _ in records) if key != "k3" else -1  # k3 is left early
+
+    got = sorted(map(tuple, keys.stream_keys(df, early, "key string, first long, more int", 3).collect()))
+    want = sorted((f"k{k}", k, -1 if k == 3 else len(range(k, 5000, 7)) - 1) for k in range(7)) + [("one", 1, 0)]
+    assert got == want
+    seen = [(key, next(group).ts_nanos) for key, group in keys.iterate_keys(df)]
+    assert seen == [(k, t) for k, t, _ in want]
+    assert keys.stream_keys(df.where("false"), early, "key string, first long, more int").count() == 0
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("b", 2, 1), ("a", 3, 2), ("a", 1, 3), ("b", 9, 4)], "key string, ts_nanos long, v1 long")
     groups = {r.key: [x.ts_nanos for x in r.records] for r in keys.by_key(df).collect()}
