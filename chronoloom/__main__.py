@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .sources.compact import compact
-from .sources.lines import add_lines, iterate_lines, lines_of, read_parallel
+from .sources.lines import add_lines, iterate_lines, read_parallel, spooled
 from .sources.store import Database
 
 
@@ -46,17 +46,20 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, lines
     db, out = Database(spark, a.dir), out or sys.stdout
     times = {"after_key": a.after_key, "before_key": a.before_key, "after_time": a.after_time, "before_time": a.before_time} if a.verb in ("read", "delete") else {}
     if a.verb == "add":
-        add_lines(db, lines_of(spark, [x.rstrip("\n") for x in (lines or sys.stdin)]), a.format, a.timestamp_format)
+        given = (f"{x.rstrip(chr(10))}\n".encode() for x in lines) if lines is not None else iter(lambda: sys.stdin.buffer.read(1 << 20), b"")
+        with spooled(db, given) as found:
+            add_lines(db, found, a.format, a.timestamp_format)
     elif a.verb == "delete":
         db.delete(a.filter, time=a.time, **times)
     elif a.verb == "compact":
         compact(db, a.major, command=a.gegnum, time_format=a.timestamp_format)
     else:
         mode = "nanos" if a.timestamp_nanos else "seconds" if a.timestamp_seconds else a.timestamp_format
+        how = {"time": mode, "show_format": a.print_format, "columns": a.columns}
         if a.parallel:
-            found = (r.value for r in read_parallel(db.snapshot(), a.parallel, pattern=a.filter, **times).toLocalIterator())
+            found = (r.value for r in read_parallel(db.snapshot(), a.parallel, rendered=how, pattern=a.filter, **times).toLocalIterator())
         else:
-            found = iterate_lines(db.snapshot().read(a.filter, **times), time=mode, show_format=a.print_format, columns=a.columns)
+            found = iterate_lines(db.snapshot().read(a.filter, **times), **how)
         for x in found:
             print(x, file=out)
 

@@ -30,17 +30,13 @@ def compact(db: Database, major: bool = False, transform: Callable[[DataFrame],
     ``transform`` maps the merged records to others; ``command`` does so as a shell
     filter over lines ``key \\t time \\t format \\t values`` per range of keys.
     """
-    lock = "_log/compact.lock"
-    if db.files.exists(lock) and db.files.age(lock) < stale_lock:
+    lock, token = "_log/compact.lock", uuid.uuid4().hex
+    if not db.files.lock(lock, token, stale_lock):
         raise Busy(db.root)
-    db.files.delete(lock)
-    token = uuid.uuid4().hex
-    db.files.create(lock, token)
     try:
         return _compact(db, major, transform, command, time_format)
     finally:
-        db.files.delete(lock)
-        db.files.delete(f"{lock}.claim")
+        db.files.unlock(lock, token)
 
 
 def _compact(db: Database, major: bool, transform, command: str | None, time_format: str | None) -> int | None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import time
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import unquote
 
@@ -26,6 +28,8 @@ def server(spark: SparkSession, root: str, host: str = "127.0.0.1", port: int =
         return held[0][1]
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
         def _answer(self, code: int, text: str = "") -> None:
             body = text.encode()
             self.send_response(code)
@@ -35,19 +39,45 @@ def server(spark: SparkSession, root: str, host: str = "127.0.0.1", port: int =
 
         def do_GET(self) -> None:
             path, _, query = self.path.partition("?")
+            begun = False
             try:
                 rows = snapshot().get_filter(unquote(path.lstrip("/")))
                 lines = iterate_lines(rows, time="%Y-%m-%dT%H:%M:%S%.f" if query == "human" else "nanos")
+                first = next(lines, None)  # a query that fails at once is answered as failed
                 self.send_response(200)
+                self.send_header("Transfer-Encoding", "chunked")
+                begun = True
                 self.end_headers()
-                for x in lines:  # streamed, not gathered
-                    self.wfile.write(f"{x}\n".encode())
+                for x in itertools.chain([] if first is None else [first], lines):  # streamed, not gathered
+                    self._chunk(f"{x}\n".encode())
+                self._chunk(b"")
             except Exception as e:
-                self._answer(500, f"{e}\n")
+                if begun:  # the body stays without its end, so the client sees that it is cut off
+                    self.close_connection = True
+                else:
+                    self._answer(500, f"{e}\n")
+
+        def _chunk(self, data: bytes) -> None:
+            self.wfile.write(b"%x\r\n%s\r\n" % (len(data), data))
+
+        def _body(self) -> Iterator[bytes]:
+            """The request's body in chunks."""
+            if self.headers.get("Transfer-Encoding", "").lower() == "chunked":
+                while size := int(self.rfile.readline().split(b";")[0], 16):
+                    yield self.rfile.read(size)
+                    self.rfile.readline()
+                return
+            left = int(self.headers.get("Content-Length", 0))
+            while left:
+                chunk = self.rfile.read(min(left, 1 << 20))
+                if not chunk:
+                    raise ConnectionError("the body is cut off")
+                left -= len(chunk)
+                yield chunk
 
         def do_PUT(self) -> None:
             try:
-                put(db, self.rfile.read(int(self.headers.get("Content-Length", 0))).decode())
+                put(db, self._body())
                 held.clear()
                 self._answer(201)
             except Exception as e:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import contextlib
+import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,25 +15,40 @@ from .store import Database, Snapshot, check_order
 
 
 def lines_of(spark: SparkSession, source: str | Iterable[str]) -> DataFrame:
-    """Lines of a file or folder, or given ones (a request's body), in column ``value``."""
+    """Lines of a file or folder, or a few given ones, in column ``value``. Only a line feed ends a line."""
     if isinstance(source, str):
-        return spark.read.text(source)
+        return spark.read.text(source, lineSep="\n")
     return spark.createDataFrame([(x,) for x in source], "value string")
 
 
+@contextlib.contextmanager
+def spooled(db: Database, chunks: Iterable[bytes]) -> Iterator[DataFrame]:
+    """Lines of bytes that come in chunks (a request's body, standard input), by way of a file beside the database's own.
+
+    Neither the driver nor one task holds them as a whole; the file goes in the end.
+    """
+    name = f"_staging/{uuid.uuid4().hex}.txt"
+    try:
+        db.files.write(name, chunks)
+        yield lines_of(db.spark, f"{db.root}/{name}")
+    finally:
+        db.files.delete(name)
+
+
 def add_lines(db: Database, lines: DataFrame, fmt: str | None = None, time_format: str | None = None, ordered_by: str | None = None) -> int | None:
     """Commit text lines as one transaction; with ``ordered_by``, a column of positions, they must come sorted."""
     if ordered_by is not None:
         parsed = parse_lines(lines.orderBy(ordered_by), fmt, time_format)
-        numbered = parsed.withColumn("_position", F.monotonically_increasing_id())
-        check_order(numbered, "_position")
+        check_order(parsed.withColumn("position", F.monotonically_increasing_id()), "position")
         return db.add(parsed)
     return db.add(parse_lines(lines, fmt, time_format))
 
 
-def put(db: Database, body: str) -> int | None:
+def put(db: Database, body: str | bytes | Iterable[bytes]) -> int | None:
     """An unsorted request body: a format on each line, times in nanoseconds, one transaction."""
-    return add_lines(db, lines_of(db.spark, body.splitlines()))
+    body = body.encode() if isinstance(body, str) else body
+    with spooled(db, [body] if isinstance(body, bytes) else body) as lines:
+        return add_lines(db, lines)
 
 
 def write_lines(records: DataFrame, path: str, **how) -> None:
@@ -45,6 +62,9 @@ def iterate_lines(records: DataFrame, **how):
         yield row.value
 
 
-def read_parallel(snapshot: Snapshot, command: str, partitions: int | None = None, **selection) -> DataFrame:
-    """Selected records as lines through a shell command per partition; a key is never split. Gives the commands' output lines."""
-    return pipe(render_lines(partition_by_key(snapshot.read(**selection), partitions)), command)
+def read_parallel(snapshot: Snapshot, command: str, partitions: int | None = None, rendered: dict | None = None, **selection) -> DataFrame:
+    """Selected records as lines through a shell command per partition; a key is never split. Gives the commands' output lines.
+
+    ``rendered`` are arguments of ``render_lines``.
+    """
+    return pipe(render_lines(partition_by_key(snapshot.read(**selection), partitions), **(rendered or {})), command)

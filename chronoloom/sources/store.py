@@ -12,10 +12,12 @@ file system interface, so any shared store serves.
 from __future__ import annotations
 
 import json
+import random
 import time
 import uuid
 import warnings
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +31,8 @@ from ..operators.merge import DELETES, latest_wins, suppress
 
 #: Columns of a stored record, in order.
 COLUMNS = [f.name for f in RECORD]
-#: A minor compaction takes so many transactions at most.
-MINOR_FILES = 1000
+#: A writer that has claimed a version and made nothing of it for so many seconds is taken for dead.
+CLAIM_SECONDS = 60.0
 
 
 class CommitConflict(RuntimeError):
@@ -43,7 +45,8 @@ class Files:
     def __init__(self, spark: SparkSession, root: str):
         self._jvm = spark.sparkContext._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(root).getFileSystem(self._conf)
         self.root = root.rstrip("/")
 
     def at(self, name: str):
@@ -63,22 +66,79 @@ class Files:
         finally:
             stream.close()
 
+    def write(self, name: str, chunks: Iterable[bytes]) -> None:
+        """A new file of the chunks, as they come."""
+        out = self._fs.create(self.at(name), False)
+        try:
+            for chunk in chunks:
+                out.write(bytearray(chunk))
+        finally:
+            out.close()
+
     def create(self, name: str, text: str) -> None:
-        """A file that must not exist yet, whole or not at all."""
-        draft = self.at(f"_log/.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(text.encode()))
-        out.close()
+        """A file that must not exist yet, whole or not at all.
+
+        Writers of a name take turns by claims, small files that are numbered and
+        made where none is. Who makes one may write; if nothing comes of the newest
+        claim in time, its writer is taken for dead and the next number is free.
+        Claims go when the file is there, so a crash at any step stops nobody.
+        """
         target = self.at(name)
+        folder, _, own = name.rpartition("/")
+        if self._fs.exists(target):
+            raise CommitConflict(name)
+        claims = self._claims(folder, own)
+        if claims and self.age(f"{folder}/{own}.claim-{claims[-1]:06d}") < CLAIM_SECONDS:
+            raise CommitConflict(name)
+        number = claims[-1] + 1 if claims else 0
+        mine, token = f"{folder}/{own}.claim-{number:06d}", uuid.uuid4().hex
         try:
-            claim = self._fs.create(self.at(f"{name}.claim"), False)  # fails where another writer has it
-            claim.close()
+            self.write(mine, [token.encode()])  # fails where another writer has it
         except Exception as e:
-            self._fs.delete(draft, False)
             raise CommitConflict(name) from e
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            self._fs.delete(draft, False)
-            raise CommitConflict(name)
+        draft = f"{folder}/.{uuid.uuid4().hex}.tmp"
+        try:
+            self.write(draft, [text.encode()])
+            if self._fs.exists(target) or self._claims(folder, own)[-1:] != [number] or self.read(mine) != token or not self._fs.rename(self.at(draft), target):
+                raise CommitConflict(name)
+            for k in claims:
+                self.delete(f"{folder}/{own}.claim-{k:06d}")
+        finally:
+            self.delete(draft)
+            self.delete(mine)
+
+    def _claims(self, folder: str, own: str) -> list[int]:
+        start = f"{own}.claim-"
+        return [int(n[len(start) :]) for n in self.names(folder) if n.startswith(start)]
+
+    def lock(self, name: str, token: str, stale: float) -> bool:
+        """Take a lock file. One that is older than ``stale`` seconds is moved away first, which of several only one can do."""
+        if self.exists(name):
+            found = self.read(name)
+            if self.age(name) < stale:
+                return False
+            aside = f"{name}.{uuid.uuid4().hex}"
+            try:
+                moved = self._fs.rename(self.at(name), self.at(aside))
+                fresh = moved and self.read(aside) != found  # another one has moved the stale lock and made this one meanwhile
+                if fresh:
+                    self._fs.rename(self.at(aside), self.at(name))
+                elif moved:
+                    self.delete(aside)
+            except Exception:
+                return False
+            if fresh or not moved:
+                return False
+        try:
+            self.write(name, [token.encode()])
+        except Exception:
+            return False
+        return True
+
+    def unlock(self, name: str, token: str) -> None:
+        """Give back a lock, if it is still one's own."""
+        if self.exists(name) and self.read(name) == token:
+            self.delete(name)
 
     def move(self, source: str, target: str) -> None:
         self._fs.mkdirs(self.at(target).getParent())
@@ -91,6 +151,20 @@ class Files:
     def age(self, name: str) -> float:
         return time.time() - self._fs.getFileStatus(self.at(name)).getModificationTime() / 1000
 
+    def row_groups(self, name: str) -> list[tuple]:
+        """Number, records, compressed and plain bytes, first and last key of a Parquet file's row groups, from its footer."""
+        parquet = self._jvm.org.apache.parquet.hadoop
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(self.at(name), self._conf))
+        try:
+            out = []
+            for k, block in enumerate(reader.getFooter().getBlocks()):
+                key = next(c for c in block.getColumns() if c.getPath().toDotString() == "key").getStatistics()
+                bounds = [v.toStringUsingUTF8() for v in (key.genericGetMin(), key.genericGetMax())] if key is not None and key.hasNonNullValue() else ["", "\U0010ffff"]
+                out.append((k, block.getRowCount(), block.getCompressedSize(), block.getTotalByteSize(), *bounds))
+            return out
+        finally:
+            reader.close()
+
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self.at(name)).getLength()
 
@@ -118,11 +192,12 @@ class Snapshot:
     def empty_transactions(self) -> list[str]:
         """Transactions whose files have gone to nothing; a reader passes over them with a warning."""
         files = Files(self.spark, self.root)
-        return [d["path"] for d in self.data if not files.exists(d["path"]) or files.size(d["path"]) == 0]
+        there = set(files.names("data"))
+        return [d["path"] for d in self.data if d["path"].rpartition("/")[2] not in there or files.size(d["path"]) == 0]
 
-    def without_main(self) -> Snapshot:
-        """Only transactions above main, the first ``MINOR_FILES`` of them."""
-        some = tuple(d for d in self.data if d["seq"] > 0)[:MINOR_FILES]
+    def without_main(self, most: int | None = None) -> Snapshot:
+        """Only transactions above main; with ``most``, the first so many of them."""
+        some = tuple(d for d in self.data if d["seq"] > 0)[:most]
         return Snapshot(self.spark, self.root, self.version, some, self.deletes)
 
     def records_of(self, entries: tuple[dict, ...]) -> DataFrame:
@@ -181,12 +256,29 @@ class Snapshot:
         rows = self.get_filter(pattern) if pattern is not None else self.get_range(after_key, before_key)
         return rows.where(time_range(a, b))
 
-    def size_on_disk(self) -> DataFrame:
-        """Files with their sizes and number of rows, by transaction."""
-        if not self.data:
-            return self.spark.createDataFrame([], "txid long, file string, bytes long, records long")
-        rows = self.all_records().select("txid", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
-        return rows.groupBy("txid", "file", "bytes").agg(F.count(F.lit(1)).alias("records"))
+    def size_on_disk(self, lower: str | None = None, upper: str | None = None) -> DataFrame:
+        """Files with their sizes and number of rows, by transaction; with bounds of keys, what of each row groups hold that reach into ``lower <= key < upper``.
+
+        From the files' footers alone.
+        """
+        groups = self.row_groups()
+        touched = F.lit(True)
+        if lower is not None:
+            touched = touched & (F.col("last_key") >= lower)
+        if upper is not None:
+            touched = touched & (F.col("first_key") < upper)
+        return groups.where(touched).groupBy("txid", "file").agg(F.sum("bytes").alias("bytes"), F.sum("records").alias("records"))
+
+    def row_groups(self) -> DataFrame:
+        """Each file's row groups: transaction, file, number, records, compressed and plain bytes, first and last key.
+
+        Where a file has no statistics of keys, or only shortened ones, the bounds are wide enough all the same.
+        """
+        files = Files(self.spark, self.root)
+        named = [(d["seq"], f"{d['path']}/{n}") for d in self.data for n in files.names(d["path"]) if n.endswith(".parquet")]
+        with ThreadPoolExecutor(16) as pool:
+            rows = [(seq, name.rpartition("/")[2], *g) for (seq, name), found in zip(named, pool.map(lambda x: files.row_groups(x[1]), named)) for g in found]
+        return self.spark.createDataFrame(rows, "txid long, file string, number int, records long, bytes long, plain_bytes long, first_key string, last_key string")
 
 
 class Database:
@@ -209,7 +301,8 @@ class Database:
         """The newest version. If its files vanish meanwhile, it is superseded, and the next is read."""
         for left in range(attempts, 0, -1):
             version, m = self._manifest()
-            gone = [d["path"] for d in m["data"] if not self.files.exists(d["path"])]
+            there = set(self.files.names("data"))
+            gone = [d["path"] for d in m["data"] if d["path"].rpartition("/")[2] not in there]
             if not gone or version == self._manifest()[0]:
                 if gone:
                     warnings.warn(f"transactions without files are passed over: {gone}", stacklevel=2)
@@ -217,9 +310,13 @@ class Database:
                 return Snapshot(self.spark, self.root, version, found, tuple(m["deletes"]))
         raise OSError(f"no stable version of {self.root}")
 
-    def commit(self, change, attempts: int = 50) -> int:
-        """Apply ``change`` to the newest manifest and make it the next version; again if another writer was faster."""
-        for _ in range(attempts):
+    def commit(self, change, patience: float | None = None) -> int:
+        """Apply ``change`` to the newest manifest and make it the next version; again if another writer was faster.
+
+        Gives up after ``patience`` seconds, by default after twice the time in which a dead writer's claim runs out.
+        """
+        end, wait = time.time() + (2 * CLAIM_SECONDS + 5 if patience is None else patience), 0.05
+        while time.time() < end:
             version, m = self._manifest()
             new = change(json.loads(json.dumps(m)))
             if new is None:
@@ -228,7 +325,8 @@ class Database:
                 self.files.create(f"_log/{version + 1:016d}.json", json.dumps(new))
                 return version + 1
             except CommitConflict:
-                time.sleep(0.05)
+                time.sleep(wait * (0.5 + random.random()))
+                wait = min(1.0, wait * 1.2)
         raise CommitConflict(f"{self.root} is too busy")
 
     def transaction(self) -> Transaction:

@@ -19,7 +19,12 @@ def line_stream(spark: SparkSession, folder: str, files_per_batch: int | None =
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(folder)
+    return reader.text(folder, lineSep="\n")
+
+
+def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Lines that a socket sends, as a stream. The source cannot be read again after a failure, so lines may be lost then."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
 
 
 def ingest(db: Database, lines: DataFrame, name: str, checkpoint: str, fmt: str | None = None, time_format: str | None = None, **trigger) -> StreamingQuery:

@@ -1,18 +1,21 @@
 import io
 import random
 import threading
+import time
 import urllib.request
+from http.client import IncompleteRead
 from urllib.error import HTTPError
 
 import pytest
 
 from chronoloom.__main__ import main
 from chronoloom.functions.formats import typed
+from chronoloom.sources import store
 from chronoloom.sources.compact import Busy, compact
 from chronoloom.sources.http import server
 from chronoloom.sources.lines import add_lines, iterate_lines, lines_of, put, read_parallel, write_lines
 from chronoloom.sources.store import CommitConflict, Database
-from chronoloom.streaming.ingest import ingest, latest_of_stream, line_stream
+from chronoloom.streaming.ingest import ingest, latest_of_stream, line_stream, socket_lines
 
 
 def add(db, *lines):
@@ -148,11 +151,112 @@ def test_compaction_through_a_filter(db):
 
 def test_one_compaction_at_a_time(db):
     add(db, "a 1 u 1")
-    db.files.create("_log/compact.lock", "x")
+    assert db.files.lock("_log/compact.lock", "x", 100)
     with pytest.raises(Busy):
         compact(db, major=True)
 
 
+def test_stale_lock_is_taken_over(db):
+    files = db.files
+    assert files.lock("_log/x.lock", "one", 100) and not files.lock("_log/x.lock", "two", 100)
+    files.unlock("_log/x.lock", "two")  # not its own
+    assert files.read("_log/x.lock") == "one"
+    assert files.lock("_log/x.lock", "three", 0) and files.read("_log/x.lock") == "three"
+    files.unlock("_log/x.lock", "three")
+    assert not files.exists("_log/x.lock")
+    add(db, "a 1 u 1")
+    files.lock("_log/compact.lock", "dead", 0)
+    assert compact(db, major=True, stale_lock=0) is not None and not files.exists("_log/compact.lock")
+
+
+@pytest.mark.parametrize("claims", [["000000"], ["000000", "000001"]])
+def test_a_dead_writer_blocks_nobody(db, monkeypatch, claims):
+    """A writer that has died between its claim and the version's file."""
+    add(db, "a 1 u 1")
+    version = db.snapshot().version
+    for k in claims:
+        db.files.write(f"_log/{version + 1:016d}.json.claim-{k}", [b"dead"])
+    with pytest.raises(CommitConflict):
+        db.commit(lambda m: m, patience=0.3)
+    monkeypatch.setattr(store, "CLAIM_SECONDS", 0.5)
+    db.delete("b")
+    assert db.snapshot().version == version + 1
+    assert not [n for n in db.files.names("_log") if "claim" in n or n.endswith(".tmp")]
+
+
+def test_a_failed_commit_leaves_no_claim(db, monkeypatch):
+    add(db, "a 1 u 1")
+    write = db.files.write
+
+    def broken(name, chunks):
+        if name.endswith(".tmp"):
+            raise OSError("disk full")
+        write(name, chunks)
+
+    monkeypatch.setattr(db.files, "write", broken)
+    with pytest.raises(OSError):
+        db.delete("a")
+    monkeypatch.undo()
+    db.delete("a")
+    assert seen(db) == []
+
+
+def test_minor_compaction_of_very_many(db):
+    for k in range(5):
+        add(db, f"k{k} 1 u {k}")
+    assert db.snapshot().without_main(3).transactions == 3
+    compact(db)
+    assert db.snapshot().transactions == 1 and len(seen(db)) == 5
+
+
+def test_row_groups_and_sizes_of_ranges(db, spark):
+    assert db.snapshot().row_groups().count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    add(db, *[f"k{k:03d} {t} u {t}" for k in range(60) for t in range(20)])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    snap = db.snapshot()
+    groups = snap.row_groups().collect()
+    assert sum(r.records for r in groups) == 1200 and min(r.first_key for r in groups) == "k000" and max(r.last_key for r in groups) == "k059"
+    assert all(r.txid == 1 and 0 < r.bytes and r.first_key <= r.last_key for r in groups)
+    inner = [r for r in groups if r.last_key >= "k050" and r.first_key < "k055"]
+    got = snap.size_on_disk("k050", "k055").collect()
+    assert sum(r.bytes for r in got) == sum(r.bytes for r in inner) <= sum(r.bytes for r in groups)
+    assert snap.size_on_disk("x").count() == 0 and snap.size_on_disk(upper="a").count() == 0
+
+
+def test_only_line_feeds_end_lines(db, spark, tmp_path):
+    odd = "x\u2028y\x85z\x1cw"
+    put(db, f"k 1 s {odd}\nk 2 s b\n".encode())
+    assert [r.s for r in db.snapshot().resolved().orderBy("ts_nanos").select(typed(0, "str").alias("s")).collect()] == [odd, "b"]
+    (tmp_path / "lines.txt").write_bytes("a\rb\u2028c\nd".encode())
+    assert [r.value for r in lines_of(spark, str(tmp_path / "lines.txt")).collect()] == ["a\rb\u2028c", "d"]
+    assert not [n for n in db.files.names("_staging")]
+
+
+def test_socket_lines(spark, db, tmp_path):
+    import socket
+
+    with socket.create_server(("127.0.0.1", 0)) as listener:
+        def serve():
+            peer, _ = listener.accept()
+            with peer:
+                peer.sendall(b"a 1 u 7\nb 2 u 8\n")
+                stop.wait(60)
+
+        stop = threading.Event()
+        threading.Thread(target=serve, daemon=True).start()
+        q = ingest(db, socket_lines(spark, "127.0.0.1", listener.getsockname()[1]), "socket", str(tmp_path / "ck"))
+        try:
+            for _ in range(120):
+                if len(seen(db)) == 2:
+                    break
+                time.sleep(0.5)
+        finally:
+            stop.set()
+            q.stop()
+    assert seen(db) == ["a\t1\tu\t7", "b\t2\tu\t8"]
+
+
 def test_writers_do_not_lose_commits(db, spark):
     errors = []
 
@@ -207,7 +311,7 @@ def test_stream(db, spark, tmp_path):
     assert latest_of_stream(spark.createDataFrame([("a", 1, 1), ("a", 1, 2)], "key string, ts_nanos long, txid long")).first().txid == 2
 
 
-def test_http(spark, tmp_path):
+def test_http(spark, tmp_path, monkeypatch):
     s = server(spark, str(tmp_path / "db"))
     threading.Thread(target=s.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{s.server_address[1]}/"
@@ -222,6 +326,22 @@ def test_http(spark, tmp_path):
         for how in ({"method": "POST", "body": b""}, {"method": "PUT", "body": b"a 1 u x"}):
             with pytest.raises(HTTPError):
                 call(**how)
+
+        def parts():
+            yield b"chunked 1 "
+            yield b"u 4\nchunked 2 u 5"
+
+        assert call(method="PUT", body=parts()).status == 201
+        assert call("chunked").read() == b"chunked\t1\t4\nchunked\t2\t5\n"
+        lines = iterate_lines
+
+        def failing(*args, **how):
+            yield next(lines(*args, **how))
+            raise OSError("lost")
+
+        monkeypatch.setattr("chronoloom.sources.http.iterate_lines", failing)
+        with pytest.raises(IncompleteRead):
+            call("fib").read()
     finally:
         s.shutdown()
 
@@ -238,6 +358,7 @@ def test_command_line(spark, tmp_path):
     run("delete", "b")
     run("compact", "--major")
     assert run("read", "%", "--parallel", "wc -l").split() == ["1"]
+    assert run("read", "%", "--parallel", "cat", "--timestamp-nanos", "--print-format", "-C", "1") == "a\t1577836800000000000\tuu\t1\n"
 
 
 def test_rows_and_single_transactions(db):
