@@ -5,16 +5,21 @@ A term votes on every bit of a fingerprint of ``BITS`` bits: up where its hash
 has a one, down where it has a zero, with a weight that grows with the length of
 its words, so that function words count for little. The bits are the votes' signs.
 
-Two fingerprints within ``radius`` bits agree wholly on one of ``radius + 1``
-blocks. ``near_counts`` therefore keeps that many tables, in each of which
-another block is permuted to the front as the key; a pair is taken from the first
-table in which it meets, so it counts once. Equal fingerprints are merged, with
-their number, before the tables are made.
+Two fingerprints within ``radius`` bits agree wholly on at least ``TOGETHER`` of
+``radius + TOGETHER`` blocks. ``near_counts`` therefore keeps a table for each choice
+of so many blocks, in which these are permuted to the front as the key; a pair is
+taken from the table of the first blocks that it agrees on, so it counts once. Keys
+of two blocks have 24 to 32 bits, so few fingerprints that are far meet. Equal
+fingerprints are merged, with their number, before the tables are made.
+
+One replaced word in a text of 300 to 800 words moves about 4 bits, in one of 150 to
+300 words about 5: a radius of 7 has 95 % and 78 % of such copies (3 bits: 46 and 29 %).
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import claim, cut_lineage, kept, small
 
 BITS = 128
+#: Bits that near fingerprints may differ in, and blocks that make a table's key.
+RADIUS, TOGETHER = 7, 2
 #: Found fingerprints go to every task up to so many (about 100 bytes each), and meet in a sorted join beyond.
 BROADCAST_ROWS = 500_000
 CACHE_ENTRIES = 400_000
@@ -159,35 +166,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_next(docs.select("doc_id", "text")).select("part", "copy", "doc_id", "text").mapInArrow(_rows, SCHEMA)
 
 
-def near_counts(rows: DataFrame, queries: Column, radius: int = 3) -> DataFrame:
+def _blocks(radius: int) -> list[tuple[int, int]]:
+    """First hex digit (from 1) and number of digits of each of ``radius + TOGETHER`` blocks."""
+    n, digits = radius + TOGETHER, BITS // 4
+    edges = [digits * k // n for k in range(n + 1)]
+    return [(a + 1, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def near_counts(rows: DataFrame, queries: Column, radius: int = RADIUS) -> DataFrame:
     """For the fingerprints of the rows that ``queries`` selects, how many rows lie within ``radius`` bits.
 
     ``rows`` has ``fingerprint`` as 32 hex digits. Gives ``fingerprint`` and
     ``n_near``, the rows with the very same fingerprint included.
     """
-    width = BITS // (radius + 1)
     names = ("hi", "lo")
     halves = [F.conv(F.substring("fingerprint", 1 + 16 * k, 16), 16, -10).cast("long").alias(n) for k, n in enumerate(names)]
-    merged = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max(queries.cast("int")).alias("asked")).select("fingerprint", "n", "asked", *halves)
-
-    def tables(df: DataFrame, *columns: str) -> DataFrame:
-        digits = width // 4
-        blocks = [F.substring("fingerprint", 1 + digits * t, digits) for t in range(radius + 1)]
-        return df.select(*columns, F.posexplode(F.array(*blocks)).alias("t", "key"))
-
-    asked = tables(merged.where("asked = 1"), "fingerprint", *[F.col(n).alias(f"q_{n}") for n in names])
-    every = tables(merged.withColumnRenamed("fingerprint", "fp").select(F.col("fp").alias("fingerprint"), "n", *names), "n", *names, F.col("fingerprint").alias("other"))
-    far = sum((F.bit_count(F.col(f"q_{n}").bitwiseXOR(F.col(n))) for n in names), F.lit(0))
-    digits = width // 4
-    earlier = F.lit(False)
-    for t in range(radius):
-        same = F.substring("fingerprint", 1 + digits * t, digits) == F.substring("other", 1 + digits * t, digits)
-        earlier = earlier | ((F.col("a.t") > t) & same)
-    pairs = asked.alias("a").join(every.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (far <= radius) & ~earlier)
-    return pairs.groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
-
-
-def simhash(docs: DataFrame, radius: int = 3, one_in: int = 50) -> DataFrame:
+    merged = cut_lineage(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max(queries.cast("int")).alias("asked")).select("fingerprint", "n", "asked", *halves))
+    blocks = _blocks(radius)
+    choices = list(itertools.combinations(range(len(blocks)), TOGETHER))
+
+    def tables(df: DataFrame) -> DataFrame:
+        keys = [F.concat(*[F.substring("fingerprint", *blocks[k]) for k in chosen]) for chosen in choices]
+        return df.select("*", F.posexplode(F.array(*keys)).alias("t", "key"))
+
+    asked = merged.where("asked = 1").select("fingerprint", *names)
+    few = asked.count() * len(choices) <= BROADCAST_ROWS
+    asked = tables(asked)
+    far = sum((F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in names), F.lit(0))
+    same = [(F.substring("a.fingerprint", *x) == F.substring("b.fingerprint", *x)).cast("int") for x in blocks]
+    first = F.lit(False)  # the table's blocks are the first that the two agree on
+    for t, chosen in enumerate(choices):
+        first = first | ((F.col("a.t") == t) & (sum(same[: chosen[-1] + 1], F.lit(0)) == TOGETHER))
+    met = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (far <= radius) & first
+    pairs = tables(merged.drop("asked")).alias("b").join((F.broadcast(asked) if few else asked).alias("a"), met)
+    return pairs.groupBy("a.fingerprint").agg(F.sum("n").alias("n_near"))
+
+
+def simhash(docs: DataFrame, radius: int = RADIUS, one_in: int = 50) -> DataFrame:
     """``fingerprints``, and for every ``one_in``-th id ``n_near``: how many rows lie within ``radius`` bits of it."""
     rows = cut_lineage(fingerprints(docs))
     asked = F.coalesce(F.col("doc_id") % one_in == 0, F.lit(False))

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from chronoloom.llm import components as cc
@@ -138,14 +139,45 @@ def test_likeness_follows_similarity():
     assert simhash.likeness(bytes(16), b"\xff" * 16) == 0
 
 
-def test_near_counts(spark):
+def plain_fingerprint(text):
+    """The votes of word pairs one by one, with whole numbers of any size."""
+    full = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & full
+        return h ^ (h >> 31)
+
+    votes, before = [0] * 128, (0, 0)
+    words = text.lower().split()
+    for w in words:
+        own = (xxhash.xxh64_intdigest(w.encode()) & ~15 | min(len(w), 15), min(len(w), 15))
+        one = mix((own[0] * 0x9E3779B97F4A7C15 + before[0]) & full)
+        two = mix((one + 0x9E3779B97F4A7C15) & full)
+        bits = one.to_bytes(8, "little") + two.to_bytes(8, "little")
+        for k in range(128):
+            up = bits[k // 8] >> (7 - k % 8) & 1
+            votes[k] += (own[1] + before[1]) * (1 if up else -1)
+        before = own
+    return sum(1 << (127 - k) for k in range(128) if votes[k] > 0).to_bytes(16, "big")
+
+
+@pytest.mark.parametrize("text", ["", "one", "Two words", "é " * 30 + "x" * 40, "the quick brown fox " * 3000])
+def test_fingerprint_equals_plain_votes(text):
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+@pytest.mark.parametrize("radius, few", [(7, True), (7, False), (3, True)])
+def test_near_counts(spark, radius, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
     r = random.Random(6)
     base = [r.getrandbits(128) for _ in range(6)]
-    codes = [b for x in base for b in [x, x] + [x ^ sum(1 << k for k in r.sample(range(128), r.randint(1, 5))) for _ in range(12)]]
+    codes = [b for x in base for b in [x, x] + [x ^ sum(1 << k for k in r.sample(range(128), r.randint(1, 9))) for _ in range(12)]]
     rows = [(k, f"{c:032x}") for k, c in enumerate(codes)]
     df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
-    got = {x.fingerprint: x.n_near for x in simhash.near_counts(df, F.col("doc_id") % 3 == 0).collect()}
-    want = {f"{c:032x}": sum((c ^ d).bit_count() <= 3 for d in codes) for k, c in enumerate(codes) if k % 3 == 0}
+    got = {x.fingerprint: x.n_near for x in simhash.near_counts(df, F.col("doc_id") % 3 == 0, radius).collect()}
+    want = {f"{c:032x}": sum((c ^ d).bit_count() <= radius for d in codes) for k, c in enumerate(codes) if k % 3 == 0}
     assert got == want
 
 
