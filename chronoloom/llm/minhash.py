@@ -159,8 +159,8 @@ def _confirm(size: int, percent: int):
     return run
 
 
-#: A semi-join sends its ids to every task up to so many (16 bytes each), and sorts both sides beyond.
-BROADCAST_IDS = 4_000_000
+#: A semi-join sends its ids to every task up to so many (about 100 bytes each there), and sorts both sides beyond.
+BROADCAST_IDS = 500_000
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -189,20 +189,18 @@ def _short_sets(size: int):
 
 
 def _across(percent: int, slack: float = 0.5):
-    """Within a bucket (or a pair of its blocks): alike documents of different components.
+    """Of a bucket, a block of those outside its main component against a block of all: alike documents of different components.
 
     One sure pair per two components is enough; pairs so close to the threshold
     that shortened hashes could decide are all given, to be confirmed.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        docs = table.column("doc_id").to_pylist()
-        comp = np.asarray(table.column("component").to_pylist(), np.int64)
-        block = np.asarray(table.column("block").to_pylist(), np.int64)
+        docs, comp = (np.asarray(table.column(c).to_pylist(), np.int64) for c in ("doc_id", "component"))
         keys = np.asarray(table.column("keys").to_pylist(), np.int64)
+        asks, outside = (np.asarray(table.column(c).to_pylist(), bool) for c in ("asks", "outside"))
         sets = [np.frombuffer(s, np.uint32) for s in table.column("short").to_pylist()]
-        i, j, here = (table.column(x)[0].as_py() for x in ("i", "j", "key"))
-        band = int(np.flatnonzero(keys[0] == here)[0])
+        band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
         size = np.asarray([len(s) for s in sets])
         joined = np.concatenate(sets)
         starts = np.cumsum(size) - size
@@ -215,9 +213,9 @@ def _across(percent: int, slack: float = 0.5):
                 x = p
             return x
 
-        for a in range(len(docs)):
-            # not of one component, first met in this band, in the blocks that this task compares, and near in size
-            others = np.flatnonzero((comp != comp[a]) & (np.arange(len(docs)) > a) & ((block != block[a]) | (i == j)) & (100 * np.minimum(size, size[a]) >= (percent - slack) * np.maximum(size, size[a])))
+        for a in np.flatnonzero(asks):
+            # not of one component, asked from one side only, near in size, and first met in this band
+            others = np.flatnonzero(~asks & (comp != comp[a]) & (~outside | (docs > docs[a])) & (100 * np.minimum(size, size[a]) >= (percent - slack) * np.maximum(size, size[a])))
             if band and len(others):
                 others = others[~(keys[others, :band] == keys[a, :band]).any(axis=1)]
             others = others[[find(int(comp[b])) != find(int(comp[a])) for b in others]] if len(others) and root else others
@@ -230,7 +228,7 @@ def _across(percent: int, slack: float = 0.5):
             for b, n in zip(others, both):
                 union = size[a] + size[b] - n
                 if 100 * n >= (percent - slack) * union and find(int(comp[a])) != find(int(comp[b])):
-                    out.append((docs[a], docs[int(b)]))
+                    out.append((docs[a], docs[b]))
                     if 100 * n >= (percent + slack) * union:  # surely a link, so more between the two components are not needed
                         root[find(int(comp[a]))] = find(int(comp[b]))
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["c", "m"])
@@ -254,9 +252,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
        id alone, so candidates grow with the memberships, not with their squares.
     4. Candidates are confirmed on the full sets of the whole texts.
     5. A star may miss a link between two members that its centre is not linked to.
-       Buckets whose members are still of several components are gone through
-       once more, within the task, in blocks of at most ``block`` members, pairs
-       already met in an earlier band left out; what is found there is confirmed likewise.
+       In buckets whose members are still of several components, those outside the
+       bucket's main component are compared with all others, in blocks (about
+       ``block`` of them, eight times as many others), pairs already met in an earlier
+       band left out; what is found there is confirmed likewise. Members of the main
+       component are not compared with each other, so a large group of copies with
+       a few strays costs rows in proportion.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     base = cut_lineage(rows.mapInArrow(_sketches(size), "doc_id long, n long, h1 long, h2 long, keys array<long>"))
@@ -276,17 +277,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
         return df.join(found.withColumnRenamed("node", column), column, "left").withColumn("component", F.coalesce("component", column))
 
     placed = labelled(buckets.where("members > 2"), "m", known)
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    left = cut_lineage(placed.join(split, "key").select("key", F.col("m").alias("doc_id"), "component", blocks.alias("blocks"), F.pmod(F.xxhash64("m"), blocks).cast("int").alias("block")))
-    wanted = left.select("doc_id").distinct()
-    short = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_short_sets(size), "doc_id long, short binary")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
+    mine, theirs = (F.ceil(n / size).cast("int") for n, size in ((F.col("all") - F.col("most"), block), (F.col("all"), 8 * block)))
+    left = cut_lineage(placed.join(main, "key").select("key", F.col("m").alias("doc_id"), "component", (F.col("component") != F.col("main")).alias("outside"), mine.alias("mine"), theirs.alias("theirs")))
+    short = only(texts, cut_lineage(left.select("doc_id").distinct())).dropDuplicates(["doc_id"]).mapInArrow(_short_sets(size), "doc_id long, short binary")
     short = short.join(reps.select(F.col("rep").alias("doc_id"), "keys"), "doc_id")
-    pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    more = pairs.join(short, "doc_id").select("key", "i", "j", "doc_id", "component", "block", "keys", "short").groupBy("key", "i", "j").applyInArrow(_across(percent), "c long, m long")
-    missed = _confirmed(cut_lineage(more.distinct()), texts, size, percent)
-    found = components(links.unionByName(missed), "a", "b")
+    spot = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = left.where("outside").withColumn("i", spot("mine")).withColumn("j", every("theirs")).withColumn("asks", F.lit(True))
+    others = left.withColumn("j", spot("theirs")).withColumn("i", every("mine")).withColumn("asks", F.lit(False))
+    pairs = asked.unionByName(others).join(short, "doc_id").select("key", "i", "j", "doc_id", "component", "asks", "outside", "keys", "short")
+    more = cut_lineage(pairs.groupBy("key", "i", "j").applyInArrow(_across(percent), "c long, m long").distinct())
+    missed = cut_lineage(_confirmed(more, texts, size, percent))
+    found = known
+    if not missed.isEmpty():
+        found = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed), "a", "b")
 
     whole = labelled(reps.select("h1", "h2", "n", "rep"), "rep", found).select("h1", "h2", "n", "component")
     linked = worded.select("doc_id", "n", "h1", "h2").join(whole, ["h1", "h2", "n"])
