@@ -18,7 +18,8 @@ import functools
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +53,59 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     return (f"<{tag}>", *[f".{w}" for w in words])
 
 
-Block = tuple[str, tuple[tuple[str, ...], ...], int]  # text, marks of its ancestors, characters in links
+class Chain:
+    """An element and, by ``above``, its ancestors; ``fresh`` has the marks that no ancestor has.
+
+    Elements share their ancestors' links, so a page of any depth takes room and
+    time in proportion to its elements. ``sums`` keeps a model and its weights' sums.
+    """
+
+    __slots__ = ("above", "tag", "fresh", "sums")
+
+    def __init__(self, above: Chain | None, tag: str, fresh: tuple[str, ...]):
+        self.above, self.tag, self.fresh, self.sums = above, tag, fresh, None
+
+
+Block = tuple[str, Chain | None, int]  # text, its ancestors, characters in links
+
+
+class _Stack:
+    """Open elements."""
+
+    def __init__(self) -> None:
+        self.chains: list[Chain] = []
+        self.marks: list[tuple[str, ...]] = []
+        self.held: Counter[str] = Counter()
+        self.tags: Counter[str] = Counter()
+
+    @property
+    def top(self) -> Chain | None:
+        return self.chains[-1] if self.chains else None
+
+    def push(self, tag: str, marks: tuple[str, ...]) -> None:
+        fresh = tuple(dict.fromkeys(x for x in marks if not self.held[x]))
+        self.chains.append(Chain(self.top, tag, fresh))
+        self.marks.append(marks)
+        self.held.update(marks)
+        self.tags[tag] += 1
+
+    def pop(self) -> str:
+        self.held.subtract(self.marks.pop())
+        tag = self.chains.pop().tag
+        self.tags[tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """End the nearest open element of a name, and all that are in it."""
+        if self.tags[tag] > 0:
+            while self.pop() != tag:
+                pass
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order; white space is one space, references are decoded."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -69,7 +116,7 @@ def leaf_blocks(page: str) -> list[Block]:
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             parts.clear()
             if text:
-                blocks.append((text, tuple(m for _, m in stack), linked))
+                blocks.append((text, stack.top, linked))
         linked = 0
 
     def text_to(end: int) -> None:
@@ -104,16 +151,13 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if closing:
             in_link = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            stack.close(tag)
         elif tag not in VOID:
-            if stack and stack[-1][0] == "p":  # a block ends an open paragraph
+            if stack.top and stack.top.tag == "p":  # a block ends an open paragraph
                 stack.pop()
-            if (group := GROUPS.get(tag)) and stack and stack[-1][0] in group:
+            if (group := GROUPS.get(tag)) and stack.top and stack.top.tag in group:
                 stack.pop()
-            stack.append((tag, _marks(tag, m[3] or m[6] or "")))
+            stack.push(tag, _marks(tag, m[3] or m[6] or ""))
     text_to(len(page))
     flush()
     return blocks
@@ -131,8 +175,11 @@ def features(blocks: list[Block]) -> list[list[str]]:
     """Names of each block's features; ancestors count once each, the nearest also as such."""
     out = []
     for text, chain, linked in blocks:
-        marks = {x for marks in chain for x in marks}
-        out.append(["1", *sorted(marks), f"in{chain[-1][0]}" if chain else "bare", *_text_features(text, linked)])
+        marks, at = [], chain
+        while at:
+            marks += at.fresh
+            at = at.above
+        out.append(["1", *sorted(marks), f"in<{chain.tag}>" if chain else "bare", *_text_features(text, linked)])
     return out
 
 
@@ -141,16 +188,27 @@ class Crf:
 
     def __init__(self, weight: dict[str, tuple[float, float]], pair: np.ndarray):
         self.weight, self.pair = weight, pair.tolist()
-        self.chains: dict[tuple, tuple[float, float]] = {}  # sums of ancestors' weights, by worker
 
-    def _chain(self, chain: tuple) -> tuple[float, float]:
-        if chain not in self.chains:
-            if len(self.chains) > 50_000:
-                self.chains.clear()
-            names = ["1", *sorted({x for marks in chain for x in marks}), f"in{chain[-1][0]}" if chain else "bare"]
-            got = [self.weight[n] for n in names if n in self.weight]
-            self.chains[chain] = (sum(g[0] for g in got), sum(g[1] for g in got))
-        return self.chains[chain]
+    def _sum(self, names: Iterable[str], start: tuple[float, float]) -> tuple[float, float]:
+        a, b = start
+        for n in names:
+            if w := self.weight.get(n):
+                a, b = a + w[0], b + w[1]
+        return a, b
+
+    def _chain(self, chain: Chain | None) -> tuple[float, float]:
+        """Sums of the weights of a block's ancestors: each element adds to those of the one above it."""
+        if chain is None:
+            return self._sum(("1", "bare"), (0.0, 0.0))
+        todo, at = [], chain
+        while at and (at.sums is None or at.sums[0] is not self):
+            todo.append(at)
+            at = at.above
+        got = at.sums[1] if at else self._sum(("1",), (0.0, 0.0))
+        for x in reversed(todo):
+            got = self._sum(x.fresh, got)
+            x.sums = (self, got)
+        return self._sum((f"in<{chain.tag}>",), got)
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """Viterbi: the labels with the highest sum."""
@@ -184,6 +242,22 @@ class Crf:
 
 def train(pages: list[tuple[list[Block], list[int]]], steps: int = 150, rate: float = 0.15, decay: float = 3e-4) -> Crf:
     """Maximum likelihood with a quadratic penalty, by Adam on exact gradients."""
+    names, objective = likelihood(pages, decay)
+    theta = np.zeros(2 * len(names) + 4)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, steps + 1):
+        _, grad = objective(theta)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        theta += rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m / (np.sqrt(v) + 1e-9)
+    w = theta[:-4].reshape(-1, 2)
+    return Crf({f: (float(w[k, 0]), float(w[k, 1])) for f, k in names.items()}, theta[-4:].reshape(2, 2))
+
+
+def likelihood(pages: list[tuple[list[Block], list[int]]], decay: float) -> tuple[dict[str, int], Callable[[np.ndarray], tuple[float, np.ndarray]]]:
+    """The features' numbers, and the penalised log-likelihood a block as a function of all weights, with its gradient.
+
+    Weights: two for each feature, then the four of label pairs.
+    """
     pages = [p for p in pages if p[0]]
     names: dict[str, int] = {}
     n, longest = len(pages), max(len(b) for b, _ in pages)
@@ -201,9 +275,8 @@ def train(pages: list[tuple[list[Block], list[int]]], steps: int = 150, rate: fl
     both = mask[:, 1:]
     pair_truth = np.asarray([[((gold[:, :-1] == a) & (gold[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)], float)
     total = mask.sum()
-    theta = np.zeros(2 * len(names) + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
+
+    def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
         w, pair = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
         unary = np.stack([np.bincount(row, weights=w[col, y], minlength=n * longest) for y in (0, 1)], axis=1).reshape(n, longest, 2)
         alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
@@ -222,11 +295,10 @@ def train(pages: list[tuple[list[Block], list[int]]], steps: int = 150, rate: fl
         grad = np.empty_like(theta)
         grad[:-4] = np.stack([np.bincount(col, weights=gap[row, y], minlength=len(names)) for y in (0, 1)], axis=1).ravel()
         grad[-4:] = (pair_truth - joint.sum(axis=(0, 1))).ravel()
-        grad = grad / total - decay * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta += rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m / (np.sqrt(v) + 1e-9)
-    w = theta[:-4].reshape(-1, 2)
-    return Crf({f: (float(w[k, 0]), float(w[k, 1])) for f, k in names.items()}, theta[-4:].reshape(2, 2))
+        value = (truth * unary).sum() + (pair_truth * pair).sum() - log_z.sum()
+        return float(value / total - decay / 2 * (theta @ theta)), grad / total - decay * theta
+
+    return names, objective
 
 
 # Words in class, id and role names by what they stand for, as the training pages use them.

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -33,10 +34,36 @@ def test_viterbi_finds_the_best_labels():
 
 
 def test_gradient_is_that_of_the_likelihood():
-    """Marginals of a page with weights at zero are one half, so one step moves weights as counts say."""
-    blocks = [("Some text here.", (("<p>",),), 0), ("Menu", (("<nav>",),), 4)]
-    model = htmltext.train([(blocks, [1, 0])], steps=60)
-    assert model.decode(blocks) == [1, 0]
+    """By finite differences, at weights that are not zero; and the likelihood by all labellings of short pages."""
+    pages = [(b[:6], y[:6]) for b, y in htmltext.labelled_pages(4, 8)]
+    names, objective = htmltext.likelihood(pages, 0.01)
+    r = np.random.default_rng(2)
+    theta = r.normal(size=2 * len(names) + 4) * 0.3
+    value, grad = objective(theta)
+    for k in [*r.choice(len(theta) - 4, 40), *range(len(theta) - 4, len(theta))]:
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        assert abs((objective(theta + step)[0] - objective(theta - step)[0]) / 2e-5 - grad[k]) < 1e-7
+    w, pair = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
+    total = blocks = 0
+    for b, y in pages:
+        units = [[sum(w[names[f], c] for f in fs) for c in (0, 1)] for fs in htmltext.features(b)]
+        score = lambda ys: sum(u[c] for u, c in zip(units, ys)) + sum(pair[p][q] for p, q in zip(ys, ys[1:]))  # noqa: E731, B023
+        total += score(y) - np.logaddexp.reduce([score([(k >> t) & 1 for t in range(len(b))]) for k in range(2 ** len(b))])
+        blocks += len(b)
+    assert abs(total / blocks - 0.005 * (theta @ theta) - value) < 1e-9
+
+
+def test_deep_pages_take_time_in_proportion():
+    """A mark counts once in a chain, however often it is there, and again after its last holder has closed."""
+    m = htmltext.default_model()
+    page = "<div class='post'>x <div class=\"post nav\">y</div> <div class=nav>z</div></section>w</div>v"
+    got = [(t, sorted(f for f in fs if f[0] in "<.")) for (t, _, _), fs in zip(htmltext.leaf_blocks(page), htmltext.features(htmltext.leaf_blocks(page)))]
+    assert got == [("x", [".post", "<div>"]), ("y", [".nav", ".post", "<div>"]), ("z", [".nav", ".post", "<div>"]), ("w", [".post", "<div>"]), ("v", [])]
+    for deep in ("<div>x" * 60_000, "<div>" * 30_000 + "</b></i></ul>" * 30_000 + "x"):
+        start = time.process_time()
+        m.decode(htmltext.leaf_blocks(deep))
+        assert time.process_time() - start < 20  # hours, if each block looked at all its ancestors
 
 
 def test_pages_of_the_test_table(spark):
