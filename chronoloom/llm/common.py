@@ -93,8 +93,10 @@ def free(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of this machine only where none is named (tests)."""
+    """The folder that the cluster names for checkpoints; one of this machine only in local mode, where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
     return named or os.path.join(tempfile.gettempdir(), "chronoloom-checkpoints")
 
 
