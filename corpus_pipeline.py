@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import shared_folder, table, tokenizer_path
+from chronoloom.llm.common import free, shared_folder, table, tokenizer_path
 from chronoloom.llm.minhash import without_near_duplicates
 from chronoloom.llm.packing import pack
 from chronoloom.llm.pii import redacted
@@ -36,7 +36,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing is rejected. Other columns pass as they are; an empty table stays empty.
     """
     weights, bias = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, weights, bias, ("__score", "__toxic")).where("__toxic = 0").drop("__score", "__toxic")
+    names = free(docs, "score"), free(docs, "toxic")
+    return score(docs, weights, bias, names).where(F.col(names[1]) == 0).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
