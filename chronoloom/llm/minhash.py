@@ -317,7 +317,9 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, s
     placed = cut_lineage(keyed.select(row, "doc_id").join(found.select(F.col("doc_id").alias(row), "component_id"), row))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row)).alias("best")
     groups = placed.groupBy("component_id").agg(best, F.count(F.lit(1)).alias("members")).where("members > 1")
-    gone = placed.join(groups.select("component_id", F.col(f"best.{row}").alias("stays")), "component_id").where(F.col(row) != F.col("stays"))
+    groups = cut_lineage(groups.select("component_id", F.col(f"best.{row}").alias("stays")))
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups  # so that a very large group stays where its rows are
+    gone = placed.join(groups, "component_id").where(F.col(row) != F.col("stays"))
     if spare_nameless:
         gone = gone.where("doc_id is not null")
     gone = cut_lineage(gone.select(row))
