@@ -1,12 +1,15 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronoloom.llm import queries
+from chronoloom.llm import queries, toxicity
 
 from .conftest import words
+from .test_repeats import brute
+from .test_tokens import check_pieces
 
 
 @pytest.fixture
@@ -73,6 +76,66 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     assert corpus_pipeline.near_duplicates(spark, df.limit(0), str(tmp_path)).count() == 0
 
 
+def plain_pipeline(docs, weights, bias):
+    """All stages but packing by their definitions, on a dict of texts by id."""
+    def score(t):
+        k, v = toxicity.text_vector(t or "")
+        return float(v @ weights[k]) + bias
+
+    docs = {i: t for i, t in docs.items() if score(t) < 0}
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {i: shingles(t) for i, t in docs.items()}, {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in docs:
+        for j in docs:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = {i: t for i, t in docs.items() if find(i) == i}
+    marks = brute(list(docs.values()), 200)  # all texts are ASCII, so bytes are characters
+    docs = {i: None if t is None else "".join(chr(c) for c, m in zip(*x) if not m) for (i, t), x in zip(docs.items(), marks)}
+    kinds = {"EMAIL": r"[a-z.]+@[a-z]+\.com", "PHONE": r"\+1 \([0-9]{3}\) 555-[0-9]{4}", "CARD": r"4111 1111 1111 1111", "IP": r"10\.0\.0\.[0-9]+"}  # those of the fixture
+    for name, pattern in kinds.items():
+        docs = {i: t and re.sub(pattern, f"[{name}]", t) for i, t in docs.items()}
+    return docs
+
+
+def test_run_equals_the_definitions(spark, tmp_path):
+    r = random.Random(12)
+    docs = {k: words(r, r.randint(5, 120), 3000) for k in range(260)}
+    for k in range(0, 260, 5):
+        w = docs[k].split()
+        for at in range(2, len(w), 9):
+            w[at] = r.choice(["scumbag", "moronic"])
+        docs[k] = " ".join(w)
+    for k in range(40):  # near copies, some beyond the threshold, in chains
+        w = docs[r.choice(list(docs))].split()
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"z{r.randint(0, 99)}"
+        docs[300 + k] = " ".join(w)
+    passage = words(r, 70, 10**6)
+    for k in range(30):
+        docs[400 + k] = f"{words(r, r.randint(0, 40), 10**6)} {passage[r.randint(0, 40):]} {words(r, r.randint(0, 20), 10**6)}"
+    for k in range(20):
+        docs[500 + k] = f"{words(r, 12, 10**6)} ann.lee@site.com {words(r, 9, 10**6)} +1 (743) 555-{3000 + k}, 4111 1111 1111 1111; 10.0.0.{k}"
+    docs |= {600: None, 601: "", 602: " ", 603: "one two"}
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3).write.parquet(path)
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    want = plain_pipeline(docs, *toxicity.fit(spark.read.parquet(path), labels))
+    assert 200 < len(want) < 310
+    check_pieces([tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()], list(want.items()), 1024)
+
+
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert out.columns[0] == "doc_id" and out.count() > 0 and corpus_pipeline.ORACLE_SQL is None
