@@ -93,13 +93,17 @@ def _suppress_by_zone(records: DataFrame, markers: DataFrame, column: str, low:
     """Anti-join in which a row meets only the markers that touch its range of ``column``; null bounds are open.
 
     A marker goes to all ranges that it touches. Any bounds give the right rows;
-    these come from a hash sample of the markers' own, so ranges hold about as many.
+    these are evenly chosen from the markers' own (from a hash sample of them if
+    there are many), so ranges hold about as many.
     """
-    edges = markers.select(low.alias("b")).unionByName(markers.select(high.alias("b"))).where("b is not null").distinct()
-    total = edges.count()
-    if total > ZONES:
-        edges = edges.where(F.xxhash64("b") < F.lit(int(ZONES / total * 2**64) - 2**63))
-    bounds = sorted(r.b for r in edges.collect())  # about ZONES at most
+    edges = markers.select(F.explode(F.array(low, high)).alias("b")).where("b is not null")
+    if not few:
+        edges = edges.distinct()
+        total = edges.count()
+        if total > ZONES:
+            edges = edges.where(F.xxhash64("b") < F.lit(int(ZONES / total * 2**64) - 2**63))
+    found = sorted({r.b for r in edges.collect()})  # 2 * BROADCAST, or about ZONES at most
+    bounds = found[:: -(-len(found) // ZONES)] if found else []
     if not bounds:
         return records.alias("r").join(F.broadcast(markers).alias("d") if few else markers.alias("d"), _condition("r", "d"), "left_anti")
     first = F.when(low.isNull(), 0).otherwise(_zone(low, bounds))
