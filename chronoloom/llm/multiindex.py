@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +121,12 @@ def fit(sample: np.ndarray, rows: int, threshold: float, recall: float = 0.999,
     return index
 
 
+def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of lists without nulls in them (a null list counts as empty), and their values in a row."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False), array.flatten().to_numpy(zero_copy_only=False)
+
+
 def _visits(shared):
     """Each vector's own cell, and the cells that it visits."""
 
@@ -127,13 +134,13 @@ def _visits(shared):
         claim("multiindex")
         indexes = {size: Index(*parts) for size, parts in shared.value.items()}
         for batch in small(batches):
-            vectors = batch.column("vector").to_pylist()
-            size = np.asarray([len(v) for v in vectors])
+            size, values = _lists(batch.column("vector"))
+            starts = np.cumsum(size) - size
             own, visits = np.zeros(len(size), np.int32), [[] for _ in size]
             for n in np.unique(size):
                 if index := indexes.get(int(n)):  # else nothing has that length but one vector
                     at = np.flatnonzero(size == n)
-                    x = unit(np.asarray([vectors[k] for k in at]))
+                    x = unit(values[starts[at][:, None] + np.arange(n)])
                     own[at] = index.cells(x)
                     for k, cells in zip(at, index.visits(x)):
                         visits[k] = cells
@@ -146,14 +153,14 @@ def _verify(threshold: float):
     """One block pair: for each vector with a link, the links that it has here, and the least vector of its local component."""
 
     def run(table: pa.Table) -> pa.Table:
-        reps, who = np.unique(np.asarray(table.column("rep").to_pylist(), np.int64), return_inverse=True)
-        many, own = (np.asarray(table.column(c).to_pylist(), np.int64) for c in ("many", "own"))
-        x = np.asarray(table.column("vector").to_pylist(), np.float64)
-        asks = np.asarray(table.column("asks").to_pylist(), bool)
+        reps, who = np.unique(table.column("rep").to_numpy(), return_inverse=True)
+        many, own = (table.column(c).to_numpy().astype(np.int64) for c in ("many", "own"))
+        x = _lists(table.column("vector"))[1].astype(np.float64).reshape(len(who), -1)
+        asks = table.column("asks").to_numpy()
         norm = np.linalg.norm(x, axis=1)
         e, q = np.flatnonzero(~asks), np.flatnonzero(asks)
-        visits = table.column("visits").to_pylist()
-        seen = np.unique(np.concatenate([np.asarray(visits[k], np.int64) + (k << 32) for k in e])) if len(e) else np.zeros(0, np.int64)
+        count, visits = _lists(table.column("visits"))
+        seen = np.unique((np.repeat(np.arange(len(who)), count) << 32) + visits)
         found = np.zeros(len(reps), np.int64)
         root: dict[int, int] = {}
 
@@ -171,7 +178,8 @@ def _verify(threshold: float):
             np.add.at(found, who[i], many[j])
             once = ~np.isin((j << 32) + own[i], seen)  # the entry doesn't ask in the query's cell
             np.add.at(found, who[j[once]], many[i[once]])
-            for s, t in zip(who[i].tolist(), who[j].tolist()):
+            met = np.unique(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j])]), axis=1)
+            for s, t in met.T.tolist():
                 s, t = find(s), find(t)
                 if s != t:
                     root[max(s, t)] = min(s, t)
