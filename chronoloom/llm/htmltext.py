@@ -18,7 +18,7 @@ import functools
 import html as entities
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -62,7 +62,7 @@ class Chain:
 
     __slots__ = ("above", "tag", "fresh", "sums")
 
-    def __init__(self, above: Chain | None, tag: str, fresh: tuple[str, ...]):
+    def __init__(self, above: Chain | None, tag: str, fresh: list[str]):
         self.above, self.tag, self.fresh, self.sums = above, tag, fresh, None
 
 
@@ -75,22 +75,27 @@ class _Stack:
     def __init__(self) -> None:
         self.chains: list[Chain] = []
         self.marks: list[tuple[str, ...]] = []
-        self.held: Counter[str] = Counter()
-        self.tags: Counter[str] = Counter()
+        self.held: dict[str, int] = defaultdict(int)
+        self.tags: dict[str, int] = defaultdict(int)
 
     @property
     def top(self) -> Chain | None:
         return self.chains[-1] if self.chains else None
 
     def push(self, tag: str, marks: tuple[str, ...]) -> None:
-        fresh = tuple(dict.fromkeys(x for x in marks if not self.held[x]))
-        self.chains.append(Chain(self.top, tag, fresh))
+        held, fresh = self.held, []
+        for x in marks:
+            if not held[x]:
+                fresh.append(x)
+            held[x] += 1
+        self.chains.append(Chain(self.chains[-1] if self.chains else None, tag, fresh))
         self.marks.append(marks)
-        self.held.update(marks)
         self.tags[tag] += 1
 
     def pop(self) -> str:
-        self.held.subtract(self.marks.pop())
+        held = self.held
+        for x in self.marks.pop():
+            held[x] -= 1
         tag = self.chains.pop().tag
         self.tags[tag] -= 1
         return tag
