@@ -39,7 +39,7 @@ from .fragments import GRAM, fragments
 #: Fragments that are built together, beside what the last group has more.
 COLLECTION = 16_384
 #: Most distinct fragments of a group; a larger one is cut in pieces.
-GROUP = 8_192
+GROUP = 2_048
 #: Distances from the anchor that a piece spans, for each time that a group is cut.
 PIECES = (24, 4, 1)
 #: Bytes that are cut in fragments at once, and of one text.
