@@ -6,6 +6,7 @@ alone: the anti-join goes below the aggregate, where it saves shuffled rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,8 +84,11 @@ def _condition(r: str, d: str) -> Column:
 
 
 def _zone(value: Column, bounds: list) -> Column:
-    """Which of the ranges between sorted bounds a value is in, by binary search."""
-    values = F.array(*map(F.lit, bounds))
+    """Which of the ranges between sorted bounds a value is in, by binary search.
+
+    The bounds are one literal, which the optimizer turns into an array, as a literal each would take seconds to build.
+    """
+    values = F.from_json(F.lit(json.dumps(bounds)), f"array<{'string' if isinstance(bounds[0], str) else 'bigint'}>")
     steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(values, acc + s - 1) <= value), acc + s).otherwise(acc))
 
