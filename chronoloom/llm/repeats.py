@@ -420,6 +420,7 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFr
     long = keyed.where(F.octet_length("text") >= width)
     digest = long.select(*key, F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.octet_length("text").alias("size"))
     same = digest.groupBy("t1", "t2", "size").agg(F.min(F.struct("r1", "r2")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = _few(cut_lineage(same))  # where they are few, copies stay where they are
     copies = digest.join(same, ["t1", "t2", "size"]).groupBy("r1", "r2").agg((F.min("first") == F.struct("r1", "r2")).alias("lead"), F.min("size").alias("size"))
     copies = cut_lineage(copies)
     roles = _few(copies.select("r1", "r2", "lead", F.lit(True).alias("copied")))
