@@ -59,7 +59,7 @@ def wildcard(pattern: str, column: str = "key") -> Column:
     return F.col(column) == head if exact else F.col(column).like(like_pattern(pattern))
 
 
-_TIME = re.compile(r"(\d{4})-(\d\d)-(\d\d)(?:[T ](\d\d):(\d\d):(\d\d)(?:\.(\d{1,9}))?)?")
+_TIME = re.compile(r"(?a)(\d{4})-(\d\d)-(\d\d)(?:[T ](\d\d):(\d\d):(\d\d)(?:\.(\d{1,9}))?)?")
 
 
 def parse_time(text: str) -> int:
@@ -89,7 +89,7 @@ def select_columns(text: str | None) -> list[tuple[int, int]]:
         return [(1, MOST_NANOS)]
     out = []
     for part in text.split(","):
-        m = re.fullmatch(r"\s*(\d+)\s*(?:-\s*(\d+)\s*)?", part)
+        m = re.fullmatch(r"\s*([0-9]+)\s*(?:-\s*([0-9]+)\s*)?", part)
         if not m or int(m[1]) < 1 or int(m[2] or m[1]) < int(m[1]):
             raise ValueError(f"not a choice of columns: {text!r}")
         out.append((int(m[1]), int(m[2] or m[1])))
