@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     5. A star may miss a link between two members that its centre is not linked to.
        In buckets whose members are still of several components, those outside the
        bucket's main component are compared with all others, in blocks (about
-       ``block`` of them, eight times as many others), pairs already met in an earlier
+       ``block`` of them, twice as many others), pairs already met in an earlier
        band left out; what is found there is confirmed likewise. Members of the main
        component are not compared with each other, so a large group of copies with
        a few strays costs rows in proportion.
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     placed = labelled(buckets.where("members > 2"), "m", known)
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
-    mine, theirs = (F.ceil(n / size).cast("int") for n, size in ((F.col("all") - F.col("most"), block), (F.col("all"), 8 * block)))
+    mine, theirs = (F.ceil(n / size).cast("int") for n, size in ((F.col("all") - F.col("most"), block), (F.col("all"), 2 * block)))
     left = cut_lineage(placed.join(main, "key").select("key", F.col("m").alias("doc_id"), "component", (F.col("component") != F.col("main")).alias("outside"), mine.alias("mine"), theirs.alias("theirs")))
     short = only(texts, cut_lineage(left.select("doc_id").distinct())).dropDuplicates(["doc_id"]).mapInArrow(_short_sets(size), "doc_id long, short binary")
     short = short.join(reps.select(F.col("rep").alias("doc_id"), "keys"), "doc_id")
