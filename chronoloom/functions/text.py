@@ -7,9 +7,10 @@ said with regular expressions, and 17 exact decimals not with Java's formatter.
 from __future__ import annotations
 
 import base64
+import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
 from decimal import Decimal
 
@@ -28,6 +29,10 @@ _NAMES = {c: f"\\{k}" for k, c in ESCAPES.items()}
 _TOKEN = re.compile(r"[ \t\n\r\f]*((?:\\.|[^\\ \t\n\r\f])*)(\\?)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]*")
 _ESCAPED = re.compile(r"\\(.)", re.S)
+#: Tokens of a line that does not end in a lone backslash, and of one without any.
+_TOKENS = re.compile(r"(?:\\.|[^\\ \t\n\r\f]+)+", re.S)
+_WORDS = re.compile(r"[^ \t\n\r\f]+")
+_SPECIAL = re.compile("[" + "".join(map(re.escape, _NAMES)) + "]")
 
 
 def _plain(token: str) -> str:
@@ -44,19 +49,15 @@ def split_one(line: str) -> tuple[str, str] | None:
 
 def split(line: str) -> list[str] | None:
     """All tokens of a line."""
-    out = []
-    while line:
-        got = split_one(line)
-        if got is None:
-            return None
-        token, line = got
-        if token or line:
-            out.append(token)
-    return out
+    if "\\" not in line:
+        return _WORDS.findall(line)
+    if (len(line) - len(line.rstrip("\\"))) % 2:
+        return None
+    return [_plain(x) for x in _TOKENS.findall(line)]
 
 
 def escape(text: str) -> str:
-    return "".join(_NAMES.get(c, c) for c in text)
+    return "".join(_NAMES.get(c, c) for c in text) if _SPECIAL.search(text) else text
 
 
 def escape_column(column: str) -> Column:
@@ -82,29 +83,34 @@ def _integer(token: str) -> int:
     return int(token)
 
 
-def parse_value(code: str, token: str) -> dict:
-    """A token as a stored value; text that does not fit its type is an error."""
-    field, _, low, high = CODES[code]
+def _value(code: str, token: str) -> object:
+    """What a token stands for; text that does not fit its type is an error."""
+    _, _, low, high = CODES[code]
     if code in "iIuU":
         n = _integer(token)
         low, high = (low, high) if low is not None else (-(2**63), 2**63 - 1)
         if not low <= n <= high:
             raise ValueError(f"{n} is out of range for '{code}'")
-        value: object = Decimal(n) if code == "U" else n
-    elif code in "fF":
+        return Decimal(n) if code == "U" else n
+    if code in "fF":
         if not _FLOAT.fullmatch(token):
             raise ValueError(f"not a number: {token!r}")
-        value = float(token)
-    elif code == "s":
-        value = token
-    else:
-        value = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
-    return {f.name: value if f.name == field else None for f in VALUE}
+        return float(token)
+    return token if code == "s" else base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
+
+
+def parse_value(code: str, token: str) -> dict:
+    """A token as a stored value; text that does not fit its type is an error."""
+    value = _value(code, token)
+    return {f.name: value if f.name == CODES[code][0] else None for f in VALUE}
 
 
 def render_value(code: str, value: dict) -> str:
     """A stored value as text: floats with 17 exact decimals, strings escaped, bytes in padded base64."""
-    v = value[CODES[code][0]]
+    return _text(code, value[CODES[code][0]])
+
+
+def _text(code: str, v: object) -> str:
     if code in "fF":
         v = float(v)
         return "NaN" if math.isnan(v) else f"{v:.17f}" if math.isfinite(v) else ("inf" if v > 0 else "-inf")
@@ -141,6 +147,12 @@ def render_stamp(nanos: int, mode: str) -> str:
 
 def parse_line(line: str, fmt: str | None = None, time_format: str | None = None) -> tuple[str, int, str, list[dict]] | None:
     """A record of a line ``key time [format] values...``; None for an empty line. A wrong number of values is an error."""
+    got = _parsed(line, fmt, time_format)
+    return None if got is None else (*got[:3], [{f.name: v if f.name == CODES[c][0] else None for f in VALUE} for c, v in zip(got[2], got[3])])
+
+
+def _parsed(line: str, fmt: str | None, time_format: str | None) -> tuple[str, int, str, list] | None:
+    """``parse_line`` with the bare values."""
     tokens = split(line)
     if tokens is None:
         raise ValueError(f"line ends in a backslash: {line!r}")
@@ -153,7 +165,7 @@ def parse_line(line: str, fmt: str | None = None, time_format: str | None = None
     codes, values = parse_format(own), tokens[head:]
     if len(codes) != len(values):
         raise ValueError(f"format {own!r} has {len(codes)} columns, the line has {len(values)}: {line!r}")
-    return tokens[0], parse_stamp(tokens[1], time_format), own, [parse_value(c, v) for c, v in zip(codes, values)]
+    return tokens[0], parse_stamp(tokens[1], time_format), own, [_value(c, v) for c, v in zip(codes, values)]
 
 
 _ARROW = pa.schema([("key", pa.string()), ("ts_nanos", pa.int64()), ("fmt", pa.string()), ("cols", pa.list_(pa.struct([("l", pa.int64()), ("u", pa.decimal128(20, 0)), ("f", pa.float32()), ("d", pa.float64()), ("s", pa.string()), ("b", pa.binary())])))])
@@ -166,33 +178,54 @@ def parse_lines(lines: DataFrame, fmt: str | None = None, time_format: str | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for x in batch.column(0).to_pylist() if x is not None and (r := parse_line(x, fmt, time_format)) is not None]
-            columns = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+            rows = [r for x in batch.column(0).to_pylist() if x is not None and (r := _parsed(x, fmt, time_format)) is not None]
+            keys, stamps, fmts, values = zip(*rows) if rows else [[], [], [], []]
+            columns = [pa.array(c, f.type) for c, f in zip((keys, stamps, fmts), _ARROW)]
+            yield pa.RecordBatch.from_arrays([*columns, _stored(fmts, values)], schema=_ARROW)
 
     return lines.select(column).mapInArrow(run, RECORD)
 
 
+def _stored(fmts: Sequence[str], values: Sequence[list]) -> pa.Array:
+    """Rows' bare values as the column ``cols``, a field at a time."""
+    kind = _ARROW.field("cols").type
+    fields = [CODES[c][0] for f in fmts for c in f]
+    flat = [v for row in values for v in row]
+    used = set(fields)
+    parts = [pa.array([v if n == f.name else None for n, v in zip(fields, flat)], f.type) if f.name in used else pa.nulls(len(flat), f.type) for f in kind.value_type]
+    ends = pa.array(itertools.accumulate(map(len, values), initial=0), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, fields=list(kind.value_type)), type=kind)
+
+
 def render_line(key: str, nanos: int, fmt: str, cols: list[dict], time: str = "%F %T", show_format: bool = False, columns: str | None = None) -> str:
     """``key \\t time \\t [format \\t] values``; only the chosen columns' values."""
     ranges = select_columns(columns)
-    values = " ".join(render_value(c, v) for n, (c, v) in enumerate(zip(fmt, cols), 1) if chosen(n, ranges))
-    return "\t".join([escape(key), render_stamp(nanos, time), *([fmt] if show_format else []), values])
+    return _line(key, nanos, fmt, [render_value(c, v) for n, (c, v) in enumerate(zip(fmt, cols), 1) if chosen(n, ranges)], time, show_format)
 
 
-def render_lines(records: DataFrame, time: str = "%F %T", show_format: bool = False, columns: str | None = None) -> DataFrame:
-    """Records as text lines in column ``value``, in the rows' order."""
-    select_columns(columns)
-
-    @F.pandas_udf(T.StringType())
-    def render(key: pd.Series, nanos: pd.Series, fmt: pd.Series, cols: pd.Series) -> pd.Series:
-        return pd.Series([render_line(k, int(n), f, [_as_dict(v) for v in c], time, show_format, columns) for k, n, f, c in zip(key, nanos, fmt, cols)], dtype=object)
+def _line(key: str, nanos: int, fmt: str, values: list[str], time: str, show_format: bool) -> str:
+    return "\t".join([escape(key), render_stamp(nanos, time), *([fmt] if show_format else []), " ".join(values)])
 
-    return records.select(render("key", "ts_nanos", "fmt", "cols").alias("value"))
 
+def render_lines(records: DataFrame, time: str = "%F %T", show_format: bool = False, columns: str | None = None) -> DataFrame:
+    """Records as text lines in column ``value``, in the rows' order."""
+    ranges = select_columns(columns)
 
-def _as_dict(v: object) -> dict:
-    return v if isinstance(v, dict) else v.asDict()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, nanos, fmt, cols = batch.columns
+            if cols.null_count:
+                raise ValueError("a record lacks its columns")
+            # a field at a time: the values of all rows lie one after another
+            fields = {f.name: x.to_pylist() if x.null_count < len(x) else [None] * len(x) for f, x in zip(cols.type.value_type, cols.values.flatten())}
+            ends = cols.offsets.to_pylist()
+            lines = [
+                _line(k, t, f, [_text(c, fields[CODES[c][0]][p]) for p, c in zip(range(a, b), f) if columns is None or chosen(p - a + 1, ranges)], time, show_format)
+                for k, t, f, a, b in zip(key.to_pylist(), nanos.to_pylist(), fmt.to_pylist(), ends, ends[1:])
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    return records.select("key", "ts_nanos", "fmt", "cols").mapInArrow(run, "value string")
 
 
 def unescape_tokens(column: str) -> Column:

@@ -21,7 +21,7 @@ from ..operators.keys import by_key, first_per_key, map_keys, map_reduce, partit
 from ..operators.merge import DELETES, latest_wins, resolve, suppress, union_transactions
 from ..sources import adapters
 from ..sources.compact import compact
-from ..sources.lines import put, read_parallel
+from ..sources.lines import put, read_parallel, text_chunks
 from ..sources.store import Database, check_order
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -481,7 +481,7 @@ def put_body(spark, sf):
     ev = adapters.events(spark, sf).where("v2 <> ''")
     lines = render_lines(ev.select("key", "ts_nanos", F.lit("Fs").alias("fmt"), pack_columns("Fs", F.col("v1"), F.col("v2")).alias("cols")), time="nanos", show_format=True)
     db = Database(spark, scratch(spark, "put-body"))
-    put(db, (f"{r.value}\n".encode() for r in lines.toLocalIterator()))
+    put(db, text_chunks(lines))
     return _wide(db.snapshot().resolved())
 
 

@@ -6,6 +6,7 @@ import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,20 @@ def iterate_lines(records: DataFrame, **how):
         yield row.value
 
 
+def text_chunks(lines: DataFrame) -> Iterator[bytes]:
+    """Lines as the chunks of a body, in no order: all tasks make them, and the driver fetches them a bounded partition at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                text = "".join([f"{x}\n" for x in batch.column(0).to_pylist()]).encode()
+                yield pa.RecordBatch.from_arrays([pa.array([text], pa.binary())], names=["value"])
+
+    # the shuffle's files keep the chunks, so no partition is made while the driver waits
+    for row in lines.select("value").mapInArrow(run, "value binary").repartition("value").toLocalIterator(prefetchPartitions=True):
+        yield bytes(row.value)
+
+
 def read_parallel(snapshot: Snapshot, command: str, partitions: int | None = None, rendered: dict | None = None, **selection) -> DataFrame:
     """Selected records as lines through a shell command per partition; a key is never split. Gives the commands' output lines.
 

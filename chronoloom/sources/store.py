@@ -33,6 +33,8 @@ from ..operators.merge import DELETES, latest_wins, suppress
 COLUMNS = [f.name for f in RECORD]
 #: A writer that has claimed a version and made nothing of it for so many seconds is taken for dead.
 CLAIM_SECONDS = 60.0
+#: Bytes that are handed to the JVM at once, about.
+PIECE = 1 << 20
 
 
 class CommitConflict(RuntimeError):
@@ -67,11 +69,18 @@ class Files:
             stream.close()
 
     def write(self, name: str, chunks: Iterable[bytes]) -> None:
-        """A new file of the chunks, as they come."""
+        """A new file of the chunks, as they come, which go over in pieces: each call of the JVM takes its time."""
         out = self._fs.create(self.at(name), False)
         try:
+            piece = bytearray()
             for chunk in chunks:
-                out.write(bytearray(chunk))
+                for a in range(0, len(chunk), PIECE):
+                    piece += chunk[a : a + PIECE]
+                    if len(piece) >= PIECE:
+                        out.write(piece)
+                        piece = bytearray()
+            if piece:
+                out.write(piece)
         finally:
             out.close()
 

@@ -13,7 +13,7 @@ from chronoloom.functions.formats import typed
 from chronoloom.sources import store
 from chronoloom.sources.compact import Busy, compact
 from chronoloom.sources.http import server
-from chronoloom.sources.lines import add_lines, iterate_lines, lines_of, put, read_parallel, write_lines
+from chronoloom.sources.lines import add_lines, iterate_lines, lines_of, put, read_parallel, text_chunks, write_lines
 from chronoloom.sources.store import CommitConflict, Database
 from chronoloom.streaming.ingest import ingest, latest_of_stream, line_stream, socket_lines
 
@@ -233,6 +233,31 @@ def test_only_line_feeds_end_lines(db, spark, tmp_path):
     assert not [n for n in db.files.names("_staging")]
 
 
+def test_a_body_goes_over_in_large_pieces(db, spark, monkeypatch):
+    """Each call of the JVM takes its time, so a body of many small chunks needs few."""
+    written = []
+
+    class Out:
+        def write(self, piece):
+            written.append(bytes(piece))
+
+        def close(self):
+            pass
+
+    class Fs:
+        def create(self, *_):
+            return Out()
+
+    monkeypatch.setattr(db.files, "_fs", Fs())
+    chunks = [b"key 1 u 1\n"] * 300_000 + [b"", b"x" * 3_000_000]
+    db.files.write("body", iter(chunks))
+    assert b"".join(written) == b"".join(chunks) and len(written) <= 7 and max(map(len, written)) <= 2 * store.PIECE
+    lines = spark.createDataFrame([(f"line {k}",) for k in range(25_000)], "value string")
+    got = list(text_chunks(lines))
+    assert len(got) < 100 and sorted(b"".join(got).decode().splitlines()) == sorted(f"line {k}" for k in range(25_000))
+    assert list(text_chunks(lines.limit(0))) == []
+
+
 def test_socket_lines(spark, db, tmp_path):
     import socket
 
