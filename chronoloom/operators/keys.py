@@ -6,9 +6,9 @@ import contextlib
 import itertools
 import subprocess
 import threading
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -41,9 +41,37 @@ def per_key_stats(records: DataFrame, value: Column) -> DataFrame:
     )
 
 
-def map_keys(records: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A function of each key's records in the order of time, at once in one task."""
-    return records.groupBy("key").applyInPandas(lambda pdf: f(pdf.sort_values("ts_nanos", kind="stable")), schema)
+def map_keys(records: DataFrame, f: Callable[[pa.RecordBatch], Iterable[tuple]], schema: str) -> DataFrame:
+    """A function of each key's records in the order of time, all at once; it gives rows of ``schema``.
+
+    Keys are cut from the sorted rows' batches without a copy, as a data frame for
+    each key would cost milliseconds where keys are many and short.
+    """
+    fields = records.sparkSession.createDataFrame([], schema).schema
+    place = records.columns.index("key")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the key that the last batch has ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(place).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+            if held and held[0].column(place)[0].as_py() != batch.column(place)[0].as_py():
+                yield pa.concat_batches(held)
+                held = []
+            for a, b in zip(starts, starts[1:]):
+                part = batch.slice(a, b - a)
+                yield pa.concat_batches([*held, part]) if held else part
+                held = []
+            held.append(batch.slice(starts[-1]))
+        if held:
+            yield pa.concat_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched((row for group in groups(batches) for row in f(group)), to_arrow_schema(fields))
+
+    return records.repartition("key").sortWithinPartitions("key", "ts_nanos").mapInArrow(run, schema)
 
 
 def stream_keys(records: DataFrame, f: Callable[[str, Iterator[dict]], Iterator[tuple]], schema: str, partitions: int | None = None) -> DataFrame:
@@ -55,22 +83,14 @@ def stream_keys(records: DataFrame, f: Callable[[str, Iterator[dict]], Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for a in range(0, batch.num_rows, 1000) for row in batch.slice(a, 1000).to_pylist())
-        out: list[tuple] = []
-        kinds = to_arrow_schema(fields)
-        for key, group in itertools.groupby(rows, key=lambda r: r["key"]):
-            for row in f(key, group):
-                out.append(row)
-                if len(out) >= 1000:
-                    yield _batch(out, kinds)
-                    out = []
-        if out:
-            yield _batch(out, kinds)
+        return _batched((row for key, group in itertools.groupby(rows, key=lambda r: r["key"]) for row in f(key, group)), to_arrow_schema(fields))
 
     return partition_by_key(records, partitions).mapInArrow(run, schema)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, 1000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
 
 def iterate_keys(records: DataFrame) -> Iterator[tuple[str, Iterator[Row]]]:

@@ -11,6 +11,7 @@ import uuid
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -275,9 +276,9 @@ def first_of_each_key(spark, sf):
 def map_over_keys(spark, sf):
     """A Python function of each key's records: the longest gap between two of them."""
 
-    def gaps(pdf):
-        d = pdf["ts_nanos"].diff().dropna()
-        return pdf.iloc[:1][["key"]].assign(gap=int(d.max())) if len(d) else pdf.iloc[:0][["key"]].assign(gap=0)
+    def gaps(records):
+        d = np.diff(records.column("ts_nanos").drop_null().to_numpy())
+        return [(records.column("key")[0].as_py(), int(d.max()))] if len(d) else []
 
     return map_keys(latest_wins(adapters.orders(spark, sf)).select("key", "ts_nanos"), gaps, "key string, gap long")
 

@@ -139,6 +139,29 @@ def test_streamed_keys(spark):
     assert keys.stream_keys(df.where("false"), early, "key string, first long, more int").count() == 0
 
 
+def test_mapped_keys(spark):
+    """Keys that end inside a batch, fill one and span several; null is a key too. Numbers that no double holds stay exact."""
+    size, big = "spark.sql.execution.arrow.maxRecordsPerBatch", 2**60 + 1
+    rows = [("long", 3 * n, n) for n in range(95)] + [(f"k{n % 9}", n, None if n % 2 else big + n) for n in range(50)] + [(None, 2, 7), (None, 1, None), ("one", 1, big)]
+    df = spark.createDataFrame(rows, "key string, ts_nanos long, v1 long").repartition(5)
+
+    def whole(records):
+        yield records.column("key")[0].as_py(), records.column("ts_nanos").to_pylist(), records.column("v1").to_pylist()
+
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10")
+    try:
+        got = [tuple(r) for r in keys.map_keys(df, whole, "key string, times array<long>, vs array<long>").collect()]
+        assert keys.map_keys(df, lambda records: [], "key string").count() == 0 == keys.map_keys(df.where("false"), whole, "key string, times array<long>, vs array<long>").count()
+    finally:
+        spark.conf.set(size, before)
+    want = []
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
+        want.append((key, [r[1] for r in own], [r[2] for r in own]))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("b", 2, 1), ("a", 3, 2), ("a", 1, 3), ("b", 9, 4)], "key string, ts_nanos long, v1 long")
     groups = {r.key: [x.ts_nanos for x in r.records] for r in keys.by_key(df).collect()}
