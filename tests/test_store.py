@@ -149,6 +149,16 @@ def test_compaction_through_a_filter(db):
     assert seen(db) == before
 
 
+def test_a_filter_runs_once_in_each_range(db, tmp_path):
+    add(db, *[f"k{k:03d} 1 u {k}" for k in range(200)])
+    log = tmp_path / "runs"
+    compact(db, major=True, command=f"echo run >> {log}; cat")
+    assert len(seen(db)) == 200 and len(log.read_text().split()) <= 4  # as many as ranges of keys at most
+    with pytest.raises(ValueError, match="nothing through"):
+        compact(db, major=True, command="cat >&2")
+    assert len(seen(db)) == 200 and db.files.names("_staging") == []
+
+
 def test_one_compaction_at_a_time(db):
     add(db, "a 1 u 1")
     assert db.files.lock("_log/compact.lock", "x", 100)
