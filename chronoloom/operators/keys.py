@@ -119,25 +119,34 @@ def pipe(lines: DataFrame, command: str) -> DataFrame:
     as ``grep`` ends so where it lets nothing through.
     """
 
-    def run(rows: Iterator) -> Iterator[tuple[str]]:
-        first = next(rows, None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = (batch for batch in batches if batch.num_rows)
+        first = next(filled, None)
         if first is None:
             return
         child = subprocess.Popen(["/bin/sh", "-c", command], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        failed: list[BaseException] = []
 
         def feed() -> None:
-            with contextlib.suppress(BrokenPipeError), child.stdin as out:
-                for row in itertools.chain([first], rows):
-                    out.write(f"{row[0]}\n".encode())
+            try:
+                with contextlib.suppress(BrokenPipeError), child.stdin as out:
+                    for batch in itertools.chain([first], filled):
+                        out.write("".join([f"{x}\n" for x in batch.column(0).to_pylist()]).encode())
+                for _ in filled:  # what a command that has ended early leaves
+                    pass
+            except BaseException as e:
+                failed.append(e)
 
         feeder = threading.Thread(target=feed, daemon=True)
         feeder.start()
         said = False
-        for x in child.stdout:
+        while some := child.stdout.readlines(1 << 18):
             said = True
-            yield (x.decode().rstrip("\n"),)
+            yield pa.RecordBatch.from_arrays([pa.array([x.removesuffix("\n") for x in map(bytes.decode, some)], pa.string())], names=["value"])
         feeder.join()
+        if failed:
+            raise failed[0]
         if child.wait() not in ((0,) if said else (0, 1)):
             raise RuntimeError(f"command ended with status {child.returncode}: {command}")
 
-    return lines.sparkSession.createDataFrame(lines.rdd.mapPartitions(run), "value string")
+    return lines.select(lines.columns[0]).mapInArrow(run, "value string")

@@ -174,6 +174,9 @@ def test_keys(spark):
     assert {r.n for r in parts.collect()} == {1}
     piped = keys.pipe(spark.createDataFrame([("x 'y'",), ("z",)], "value string"), "sed s/x/w/ | grep -v z")
     assert [r.value for r in piped.collect()] == ["w 'y'"]
+    many = spark.range(0, 30_000, 1, 1).selectExpr("if(id = 7, '', concat(id, ' \u00e9\u2028x')) value")
+    assert keys.pipe(many, "cat").collect() == many.collect()
+    assert [r.value for r in keys.pipe(many, "head -n 1; printf 'a\\n\\nb'").collect()] == ["0 \u00e9\u2028x", "a", "", "b"]
     with pytest.raises(Exception):
         keys.pipe(spark.createDataFrame([("x",)], "value string"), "exit 3").collect()
     with pytest.raises(ValueError):
