@@ -10,10 +10,11 @@ import base64
 import itertools
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import UTC, datetime
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -207,23 +208,57 @@ def _line(key: str, nanos: int, fmt: str, values: list[str], time: str, show_for
     return "\t".join([escape(key), render_stamp(nanos, time), *([fmt] if show_format else []), " ".join(values)])
 
 
+def renderer(time: str = "%F %T", show_format: bool = False, columns: str | None = None) -> Callable[[pa.RecordBatch], list[str]]:
+    """A function of a batch ``key, ts_nanos, fmt, cols`` that gives its lines."""
+    ranges = select_columns(columns)
+
+    def lines(batch: pa.RecordBatch) -> list[str]:
+        key, nanos, fmt, cols = batch.columns
+        if cols.null_count:
+            raise ValueError("a record lacks its columns")
+        heads = [_each(key, escape), _each(nanos, lambda t: render_stamp(t, time)), *([fmt.to_pylist()] if show_format else [])]
+        return list(map("\t".join, zip(*heads, _rows(fmt, cols, None if columns is None else ranges))))
+
+    return lines
+
+
+def _each(column: pa.Array, f: Callable) -> list:
+    """``f`` of each value, called once for equal ones."""
+    coded = column.dictionary_encode(null_encoding="encode")
+    words = [f(x) for x in coded.dictionary.to_pylist()]
+    return [words[k] for k in coded.indices.to_numpy().tolist()]
+
+
+def _rows(fmt: pa.Array, cols: pa.Array, ranges: list[tuple[int, int]] | None) -> list[str]:
+    """The rows' chosen values as text: a column at a time where all rows have one format, else a row at a time."""
+    ends = cols.offsets.to_numpy()
+    formats = fmt.unique().to_pylist()
+    n = len(formats[0] or "") if len(formats) == 1 else 0
+    if n and (np.diff(ends) == n).all():
+        # the values of all rows lie one after another, so every n-th is of one column
+        values = cols.values.slice(ends[0], ends[-1] - ends[0])
+        fields = dict(zip((f.name for f in cols.type.value_type), values.flatten()))
+        texts = [_texts(c, fields[CODES[c][0]].take(pa.array(np.arange(j, len(values), n)))) for j, c in enumerate(formats[0]) if ranges is None or chosen(j + 1, ranges)]
+        return texts[0] if len(texts) == 1 else list(map(" ".join, zip(*texts))) if texts else [""] * len(fmt)
+    fields = {f.name: x.to_pylist() if x.null_count < len(x) else [None] * len(x) for f, x in zip(cols.type.value_type, cols.values.flatten())}
+    places = ends.tolist()
+    return [" ".join([_text(c, fields[CODES[c][0]][p]) for p, c in zip(range(a, b), f) if ranges is None or chosen(p - a + 1, ranges)]) for f, a, b in zip(fmt.to_pylist(), places, places[1:])]
+
+
+def _texts(code: str, values: pa.Array) -> list[str]:
+    """``_text`` of a column's values."""
+    if code in "fF" and not values.null_count and np.isfinite(numbers := values.to_numpy()).all():
+        return [f"{v:.17f}" for v in numbers.tolist()]
+    return _each(values, lambda v: _text(code, v)) if code == "s" else [_text(code, v) for v in values.to_pylist()]
+
+
 def render_lines(records: DataFrame, time: str = "%F %T", show_format: bool = False, columns: str | None = None) -> DataFrame:
     """Records as text lines in column ``value``, in the rows' order."""
-    ranges = select_columns(columns)
+    lines = renderer(time, show_format, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, nanos, fmt, cols = batch.columns
-            if cols.null_count:
-                raise ValueError("a record lacks its columns")
-            # a field at a time: the values of all rows lie one after another
-            fields = {f.name: x.to_pylist() if x.null_count < len(x) else [None] * len(x) for f, x in zip(cols.type.value_type, cols.values.flatten())}
-            ends = cols.offsets.to_pylist()
-            lines = [
-                _line(k, t, f, [_text(c, fields[CODES[c][0]][p]) for p, c in zip(range(a, b), f) if columns is None or chosen(p - a + 1, ranges)], time, show_format)
-                for k, t, f, a, b in zip(key.to_pylist(), nanos.to_pylist(), fmt.to_pylist(), ends, ends[1:])
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines(batch), pa.string())], names=["value"])
 
     return records.select("key", "ts_nanos", "fmt", "cols").mapInArrow(run, "value string")
 

@@ -112,9 +112,18 @@ def partition_by_key(records: DataFrame, partitions: int | None = None) -> DataF
     return records.repartitionByRange(*n, "key").sortWithinPartitions("key", "ts_nanos")
 
 
-def pipe(lines: DataFrame, command: str) -> DataFrame:
+def whole_keys(records: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Each key in one partition, in no ranges, so that no pass over the rows has to find their bounds; not sorted."""
+    n = [partitions] if partitions else []
+    return records.repartition(*n, "key")
+
+
+def pipe(rows: DataFrame, command: str, lines: Callable[[pa.RecordBatch], list[str]] | None = None) -> DataFrame:
     """Each partition's lines through a shell command of its own; a failing command fails the job.
 
+    The lines are the first column, or what ``lines`` makes of a batch of all columns:
+    made here, they go to the command without passing through Spark as rows.
+
     Partitions without lines start none. Status 1 without any output is no failure,
     as ``grep`` ends so where it lets nothing through.
     """
@@ -131,7 +140,7 @@ def pipe(lines: DataFrame, command: str) -> DataFrame:
             try:
                 with contextlib.suppress(BrokenPipeError), child.stdin as out:
                     for batch in itertools.chain([first], filled):
-                        out.write("".join([f"{x}\n" for x in batch.column(0).to_pylist()]).encode())
+                        out.write("".join([f"{x}\n" for x in (lines(batch) if lines else batch.column(0).to_pylist())]).encode())
                 for _ in filled:  # what a command that has ended early leaves
                     pass
             except BaseException as e:
@@ -149,4 +158,4 @@ def pipe(lines: DataFrame, command: str) -> DataFrame:
         if child.wait() not in ((0,) if said else (0, 1)):
             raise RuntimeError(f"command ended with status {child.returncode}: {command}")
 
-    return lines.select(lines.columns[0]).mapInArrow(run, "value string")
+    return (rows if lines else rows.select(rows.columns[0])).mapInArrow(run, "value string")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import RECORD, pack_columns, typed
 from ..functions.predicates import formatted, key_range, parse_time, pick_columns, pick_format, seconds, time_range, wildcard
 from ..functions.text import escape_column, parse_lines, render_lines
-from ..operators.keys import by_key, first_per_key, map_keys, map_reduce, partition_by_key, per_key_stats, stream_keys
+from ..operators.keys import by_key, first_per_key, map_keys, map_reduce, partition_by_key, per_key_stats, stream_keys, whole_keys
 from ..operators.merge import DELETES, latest_wins, resolve, suppress, union_transactions
 from ..sources import adapters
 from ..sources.compact import compact
@@ -406,9 +406,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 def _stored(spark: SparkSession, sf: str, name: str) -> Database:
     """Orders in two transactions, the second one with doubled prices for some, then a deletion."""
     db = Database(spark, scratch(spark, name))
-    o = latest_wins(adapters.orders(spark, sf)).select("key", "ts_nanos", "v1", "v2", "txid")
-    db.transaction().add_typed(o.drop("txid")).commit()
-    db.transaction().add_typed(o.where("txid % 3 = 0").select("key", "ts_nanos", (F.col("v1") * 2).alias("v1"), F.lit("X").alias("v2"))).commit()
+    o = latest_wins(whole_keys(adapters.orders(spark, sf))).select("key", "ts_nanos", "v1", "v2", "txid").persist()  # each commit passes over it twice
+    try:
+        db.transaction().add_typed(o.drop("txid")).commit()
+        db.transaction().add_typed(o.where("txid % 3 = 0").select("key", "ts_nanos", (F.col("v1") * 2).alias("v1"), F.lit("X").alias("v2"))).commit()
+    finally:
+        o.unpersist()
     db.delete("cust/%7", after_time=T1)
     return db
 

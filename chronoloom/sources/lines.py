@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_lines, render_lines
-from ..operators.keys import partition_by_key, pipe
-from .store import Database, Snapshot, check_order
+from ..functions.text import parse_lines, render_lines, renderer
+from ..operators.keys import partition_by_key, pipe, whole_keys
+from .store import COLUMNS, Database, Snapshot, check_order
 
 
 def lines_of(spark: SparkSession, source: str | Iterable[str]) -> DataFrame:
@@ -80,6 +80,8 @@ def text_chunks(lines: DataFrame) -> Iterator[bytes]:
 def read_parallel(snapshot: Snapshot, command: str, partitions: int | None = None, rendered: dict | None = None, **selection) -> DataFrame:
     """Selected records as lines through a shell command per partition; a key is never split. Gives the commands' output lines.
 
-    ``rendered`` are arguments of ``render_lines``.
+    ``rendered`` are arguments of ``render_lines``. The records are dealt out by key before they
+    are merged, and the merge's order is that of the lines, so they are shuffled and sorted once.
     """
-    return pipe(render_lines(partition_by_key(snapshot.read(**selection), partitions), **(rendered or {})), command)
+    rows = snapshot.read(**selection, dealt=lambda df: whole_keys(df, partitions)).sortWithinPartitions("key", "ts_nanos")
+    return pipe(rows.select(COLUMNS), command, renderer(**(rendered or {})))

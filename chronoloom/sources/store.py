@@ -16,16 +16,16 @@ import random
 import time
 import uuid
 import warnings
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.formats import RECORD, infer_format, pack_columns, wide_schema
-from ..functions.predicates import MOST_NANOS, key_range, nanos_of, parse_time, time_range, wildcard
+from ..functions.predicates import MOST_NANOS, free_name, key_range, nanos_of, parse_time, time_range, wildcard
 from ..operators.keys import by_key
 from ..operators.merge import DELETES, latest_wins, suppress
 
@@ -214,7 +214,9 @@ class Snapshot:
         if not entries:
             return self.spark.createDataFrame([], RECORD).withColumn("txid", F.lit(0).cast("long"))
         df = self.spark.read.schema(RECORD).parquet(*[f"{self.root}/{d['path']}" for d in entries])
-        return df.withColumn("txid", F.regexp_extract(F.col("_metadata.file_path"), r"/tx-(\d+)-[0-9a-f]+/[^/]*$", 1).cast("long"))
+        # of ``.../tx-<number>-<uuid>/<file>``; cut out, as a regular expression would cost more than the rest of the row
+        folder = F.substring_index(F.col("_metadata.file_path"), "/", -2)
+        return df.withColumn("txid", F.substring(F.substring_index(folder, "-", 2), F.lit(4), F.lit(20)).cast("long"))
 
     def all_records(self) -> DataFrame:
         return self.records_of(self.data)
@@ -232,11 +234,16 @@ class Snapshot:
     def delete_rows(self) -> DataFrame:
         return self.spark.createDataFrame([tuple(d.get(f.name) for f in DELETES) for d in self.deletes], DELETES)
 
-    def resolved(self) -> DataFrame:
-        """One record a key and time, deleted ones gone. Selections that follow reach the scan."""
+    def resolved(self, dealt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """One record a key and time, deleted ones gone. Selections that follow reach the scan.
+
+        ``dealt`` puts the stored rows of a key in one partition; the merge then moves none.
+        """
         rows = self.all_records()
         if self.deletes:
             rows = suppress(rows, self.delete_rows())
+        if dealt is not None:
+            rows = dealt(rows)
         return (rows if self.transactions <= 1 else latest_wins(rows)).select(COLUMNS)
 
     # selections
@@ -244,11 +251,11 @@ class Snapshot:
     def get(self, key: str) -> DataFrame:
         return self.resolved().where(F.col("key") == key)
 
-    def get_range(self, lower: str | None = None, upper: str | None = None, include_lower: bool = True, include_upper: bool = False) -> DataFrame:
-        return self.resolved().where(key_range(lower, upper, include_lower, include_upper))
+    def get_range(self, lower: str | None = None, upper: str | None = None, include_lower: bool = True, include_upper: bool = False, dealt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        return self.resolved(dealt).where(key_range(lower, upper, include_lower, include_upper))
 
-    def get_filter(self, pattern: str) -> DataFrame:
-        return self.resolved().where(wildcard(pattern))
+    def get_filter(self, pattern: str, dealt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        return self.resolved(dealt).where(wildcard(pattern))
 
     def get_range_keys(self, lower: str | None = None, upper: str | None = None, **more: bool) -> DataFrame:
         return by_key(self.get_range(lower, upper, **more))
@@ -256,13 +263,13 @@ class Snapshot:
     def get_filter_keys(self, pattern: str) -> DataFrame:
         return by_key(self.get_filter(pattern))
 
-    def read(self, pattern: str | None = None, after_key: str | None = None, before_key: str | None = None, after_time: str | int | None = None, before_time: str | int | None = None) -> DataFrame:
-        """By pattern or by key bounds, not both and not neither; with times besides."""
+    def read(self, pattern: str | None = None, after_key: str | None = None, before_key: str | None = None, after_time: str | int | None = None, before_time: str | int | None = None, dealt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """By pattern or by key bounds, not both and not neither; with times besides. ``dealt``: see ``resolved``."""
         bounds = after_key is not None or before_key is not None
         if (pattern is not None) == bounds:
             raise ValueError("give either a pattern or bounds of keys")
         a, b = (parse_time(t) if isinstance(t, str) else t for t in (after_time, before_time))
-        rows = self.get_filter(pattern) if pattern is not None else self.get_range(after_key, before_key)
+        rows = self.get_filter(pattern, dealt) if pattern is not None else self.get_range(after_key, before_key, dealt=dealt)
         return rows.where(time_range(a, b))
 
     def size_on_disk(self, lower: str | None = None, upper: str | None = None) -> DataFrame:
@@ -391,7 +398,7 @@ class Transaction:
     def __init__(self, db: Database):
         self.db = db
         self.staging = f"_staging/{uuid.uuid4().hex}"
-        self.parts: list[DataFrame] = []
+        self.parts: list[tuple[DataFrame, list[Column]]] = []  # rows with key and time, and what makes records of them
         self.done = False
 
     def __enter__(self) -> Transaction:
@@ -405,7 +412,7 @@ class Transaction:
 
     def add(self, records: DataFrame) -> Transaction:
         """Rows of the stored schema: ``key, ts_nanos, fmt, cols``."""
-        self.parts.append(records.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD]))
+        self.parts.append((records.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD]), [F.col(n) for n in COLUMNS]))
         return self
 
     def add_typed(self, df: DataFrame, key: str = "key", time: str = "ts_nanos") -> Transaction:
@@ -413,7 +420,10 @@ class Transaction:
         values = [f for f in df.schema if f.name not in (key, time)]
         fmt = infer_format(type(df.schema)(values))
         stamp = F.col(time) if df.schema[time].dataType.typeName() == "long" else nanos_of(time)
-        return self.add(df.select(F.col(key).alias("key"), stamp.alias("ts_nanos"), F.lit(fmt).alias("fmt"), pack_columns(fmt, *[F.col(f.name) for f in values]).alias("cols")))
+        named = [f"v{n}" for n in range(1, len(values) + 1)]
+        rows = df.select(F.col(key).cast("string").alias("key"), stamp.alias("ts_nanos"), *[F.col(f.name).alias(n) for f, n in zip(values, named)])
+        self.parts.append((rows, [F.col("key"), F.col("ts_nanos"), F.lit(fmt).alias("fmt"), pack_columns(fmt, *map(F.col, named)).alias("cols")]))
+        return self
 
     def add_rows(self, fmt: str, rows: Iterable[tuple]) -> Transaction:
         """Python rows ``(key, nanoseconds, value, ...)`` of one format, for small transactions."""
@@ -429,23 +439,31 @@ class Transaction:
         """The transaction's number, or None if it has no rows (or the batch is committed already)."""
         if not self.parts or (batch and self._known(self.db._manifest()[1], batch)):
             return None
-        df = self.parts[0]
-        for other in self.parts[1:]:
-            df = df.unionByName(other)
+        kinds = [F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD]
+        df, record = self.parts[0]
+        if len(self.parts) > 1:
+            df, record = df.select(record).select(kinds), kinds
+            for other, columns in self.parts[1:]:
+                df = df.unionByName(other.select(columns).select(kinds))
         checked = (
             F.when(F.col("key").isNull() | F.col("fmt").isNull() | F.col("cols").isNull(), F.raise_error(F.lit("a record lacks its key, format or columns")).cast("long"))
             .when(~F.coalesce(F.col("ts_nanos").between(0, MOST_NANOS), F.lit(False)), F.raise_error(F.concat(F.lit("timestamp out of range at key "), F.col("key"))).cast("long"))
             .when(F.size("cols") != F.length("fmt"), F.raise_error(F.concat(F.lit("record does not match its format "), F.col("fmt"), F.lit(" at key "), F.col("key"))).cast("long"))
             .otherwise(F.col("ts_nanos"))
         )
-        df.withColumn("ts_nanos", checked).repartitionByRange("key").sortWithinPartitions("key", "ts_nanos").write.parquet(f"{self.db.root}/{self.staging}")
-        written = self.db.spark.read.schema(RECORD).parquet(f"{self.db.root}/{self.staging}")
-        # a key lies in one file, sorted by time, so a repeated time is found without another shuffle of the values
-        twice = written.groupBy("key", "ts_nanos").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
-        if twice:
+        # values are packed after the shuffle, as packed ones are many times wider; a key lies in one partition, sorted
+        # by time, so repeated times are neighbours, and are found while the files are written
+        placed = df.repartitionByRange("key").sortWithinPartitions("key", "ts_nanos")
+        before = F.lag("ts_nanos").over(Window.partitionBy("key").orderBy("ts_nanos"))
+        twice = free_name(df, "twice")
+        seen = Observation()
+        rows = placed.withColumn(twice, before == F.col("ts_nanos")).observe(seen, F.count(F.lit(1)).alias("n"), F.min(F.when(F.col(twice), F.struct("key", "ts_nanos"))).alias("twice"))
+        rows.select(record).select(kinds).withColumn("ts_nanos", checked).write.parquet(f"{self.db.root}/{self.staging}")
+        found = seen.get
+        if found["twice"]:
             self.rollback()
-            raise ValueError(f"two records at key {twice[0].key!r} and time {twice[0].ts_nanos} in one transaction")
-        if written.isEmpty():
+            raise ValueError(f"two records at key {found['twice'].key!r} and time {found['twice'].ts_nanos} in one transaction")
+        if not found["n"]:
             self.rollback()
             self.done = True
             return None
@@ -481,8 +499,6 @@ def check_order(rows: DataFrame, position: str) -> None:
     Neighbours are found by a window within ranges of positions, and the ranges'
     ends, a row each, are compared on the driver.
     """
-    from pyspark.sql import Window
-
     parts = rows.select(F.col(position).alias("p"), "key", "ts_nanos").repartitionByRange("p").withColumn("part", F.spark_partition_id())
     w = Window.partitionBy("part").orderBy("p")
     lagged = parts.withColumn("k0", F.lag("key").over(w)).withColumn("t0", F.lag("ts_nanos").over(w))

@@ -428,3 +428,42 @@ def test_compaction_changes_nothing(db, seed):
             compact(db, major=r.random() < 0.5)
         got = {(x.key, x.ts_nanos): x.v for x in db.snapshot().resolved().select("key", "ts_nanos", typed(0, "u64").cast("int").alias("v")).collect()}
         assert got == model
+
+
+def test_parallel_read_is_one_shuffle_and_one_pass(db):
+    rows = [f"k{k:03d} {t} u {t}" for k in range(40) for t in range(5)]
+    add(db, *rows)
+    add(db, *[f"k{k:03d} {t} u 9" for k in range(0, 40, 3) for t in range(2, 7)])
+    db.delete("k%7", after_time=3)
+    add(db, "k007 4 Fs 0.5 a\\ b")
+    out = read_parallel(db.snapshot(), "cat", rendered={"time": "nanos", "show_format": True}, pattern="k%", after_time=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1
+    assert sorted(r.value for r in out.collect()) == list(iterate_lines(db.snapshot().read("k%", after_time=1), time="nanos", show_format=True))
+    whole = read_parallel(db.snapshot(), "cut -f1,2 | sort -c -t '\t' -k1,1 -k2,2n && echo in order; cat", partitions=3, rendered={"time": "nanos"}, after_key="k")
+    assert {r.value for r in whole.collect()} == {"in order"}
+
+
+def test_commit_passes_over_its_rows_twice(db, spark):
+    """Once to find the ranges of keys, once to write; repeated times and rows are found on the way."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(3000).selectExpr("concat('k', id % 7) as key", "id as ts_nanos", "id as v1")
+    tracker, group = spark.sparkContext.statusTracker(), "commit-passes"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert db.transaction().add_typed(rows.mapInArrow(counted, rows.schema)).commit() == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert read.value == 6000 and len(set(stages)) <= 4  # no shuffle of the written rows besides
+    assert db.snapshot().all_records().select("txid").distinct().collect() == [(1,)]
+    for twice in (rows.union(rows.limit(1)), rows.where("ts_nanos = 5").union(rows.where("ts_nanos = 5"))):
+        with pytest.raises(ValueError, match="two records at key"):
+            db.transaction().add_typed(twice).commit()
+    assert db.transaction().add_typed(rows.where("false")).commit() is None and db.files.names("_staging") == []

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from chronoloom.functions import text
 from chronoloom.functions.formats import CODES, infer_format, pack_columns, parse_format, row_size, try_typed, typed, wide_schema
 from chronoloom.functions.predicates import key_range, like_pattern, parse_time, select_columns, wildcard
 from chronoloom.functions.text import escape, escape_column, parse_line, parse_lines, parse_value, render_line, render_lines, render_value, split, split_one, unescape_tokens
@@ -117,3 +118,19 @@ def test_predicates(spark):
     df = spark.createDataFrame([(k,) for k in keys], "key string")
     pick = lambda p: {r.key for r in df.where(wildcard(p)).collect()}
     assert pick("a_b") == {"a_b"} and pick("a_%") == {"a_b"} and pick("%+%") == {"a+b"} and pick("%") == set(keys) and pick("a\\%") == {"a\\b"}
+
+
+@pytest.mark.parametrize("columns", [None, "2", "1,3-9"])
+def test_lines_of_batches(columns):
+    """Batches of one format are rendered a column at a time, others a row at a time, with the same lines."""
+    import pyarrow as pa
+
+    one = [("a b", 5, "Fsi", [0.1, "x y", -3]), ("a b", 6, "Fsi", [float("inf"), "", 4]), ("é\t", 6, "Fsi", [float("nan"), "\\", 5])]
+    finite = [("k", n, "fF", [n / 4, n / 3]) for n in range(5)]  # the first is exact in 32 bits
+    mixed = [*one, ("z", 7, "", []), ("z", 8, "uUB", [1, Decimal(2**64 - 1), b"q"]), *finite]
+    for rows in (one, finite, mixed, [("k", 1, "", []), ("l", 2, "", [])], []):
+        full = [(k, t, f, [{x.name: v if x.name == text.CODES[c][0] else None for x in text.VALUE} for c, v in zip(f, values)]) for k, t, f, values in rows]
+        batch = pa.RecordBatch.from_pylist([dict(zip(text._ARROW.names, r)) for r in full], schema=text._ARROW)
+        want = [text.render_line(*r, show_format=True, columns=columns) for r in full]
+        assert text.renderer(show_format=True, columns=columns)(batch) == want
+        assert text.renderer(show_format=True, columns=columns)(batch.slice(1)) == want[1:]
